@@ -23,11 +23,14 @@ def surface_model(points: DataFrame, dem: DataFrame, grid: Grid) -> DataFrame:
 
 def cleaned_height(params: CanopyParams, chm: str = "_chm", nb: str = "_nb") -> Column:
     """Canopy height without spikes and pits, by the median around, which is taken before either is removed."""
-    median, height = median_around(nb), F.col(chm)
-    spike = F.when(height > params.max_height_m, F.least(median, F.lit(params.max_height_m))).otherwise(height)
-    if params.pit_fill_m <= 0:
-        return spike
-    return F.when(median - spike > params.pit_fill_m, median).otherwise(spike)
+    most = F.lit(params.max_height_m)
+
+    def clean(v: Column) -> Column:
+        spike = F.when(v["h"] > most, F.least(v["m"], most)).otherwise(v["h"])
+        return F.when(v["m"] - spike > params.pit_fill_m, v["m"]).otherwise(spike) if params.pit_fill_m > 0 else spike
+
+    # Bound to a name, the median is sorted out once and not wherever it is used.
+    return F.transform(F.array(F.struct(F.col(chm).alias("h"), median_around(nb).alias("m"))), clean)[0]
 
 
 def canopy_height_model(cells: DataFrame, params: CanopyParams = CanopyParams()) -> DataFrame:

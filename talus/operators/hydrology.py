@@ -21,22 +21,15 @@ DIRECTIONS = ((1, "e", 0, 1), (2, "se", 1, 1), (4, "s", 1, 0), (8, "sw", 1, -1),
 
 def flow_direction(cells: DataFrame, grid: Grid, value: str = "filled", into: str = "direction", edge_outlets: bool = True, res_m: float | None = None) -> DataFrame:
     """Adds the D8 code of each cell; the border drains outward with ``edge_outlets``."""
-    drops = DIRECTIONS
-    near = around(cells, value, replicate=False, into="_nb")
     meters = grid.res_m if res_m is None else res_m
-    # The drops are columns first, so that comparing them doesn't repeat the divisions.
-    for _, name, dr, dc in drops:
-        near = near.withColumn(f"_d_{name}", (F.col("_nb.c") - F.col(f"_nb.{name}")) / F.lit(meters * (math.sqrt(2.0) if dr and dc else 1.0)))
-    most = F.greatest(*(F.col(f"_d_{name}") for _, name, *_ in drops))
-    near = near.withColumn("_most", most)
-    code = F.lit(OUTLET)
-    for value_, name, *_ in reversed(drops):
-        code = F.when(F.col(f"_d_{name}") == F.col("_most"), F.lit(value_)).otherwise(code)
-    code = F.when(F.col("_most") > 0, code).otherwise(F.lit(OUTLET))
+    near = around(cells, value, replicate=False, into="_nb")
+    falls = F.array(*((F.col("_nb.c") - F.col(f"_nb.{name}")) / F.lit(meters * (math.sqrt(2.0) if dr and dc else 1.0)) for _, name, dr, dc in DIRECTIONS))
+    # The codes are powers of two in the order of the falls; the first of equal ones counts.
+    code = F.transform(F.array(falls), lambda d: F.when(F.array_max(d) > 0, F.pow(F.lit(2), F.array_position(d, F.array_max(d)) - 1)).otherwise(F.lit(OUTLET)))[0]
     if edge_outlets:
         border = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == grid.height - 1) | (F.col("col") == grid.width - 1)
         code = F.when(border, F.lit(OUTLET)).otherwise(code)
-    return near.withColumn(into, code.cast("smallint")).drop("_nb", "_most", *(f"_d_{name}" for _, name, *_ in drops))
+    return near.withColumn(into, code.cast("smallint")).drop("_nb")
 
 
 def downstream(grid: Grid, direction: str = "direction") -> Column:

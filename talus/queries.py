@@ -306,7 +306,7 @@ def downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directed(spark, sf_dir).select("cell", "downstream")
 
 
-ACCUMULATED = D8 + ", w(at, from_cell) AS (SELECT cell, cell FROM e UNION ALL SELECT e.downstream, w.from_cell FROM w JOIN e ON w.at = e.cell WHERE e.downstream IS NOT NULL), acc AS (SELECT at AS cell, count(*) AS acc, sum(from_cell % 7 + 1) AS weighted FROM w GROUP BY at)"
+ACCUMULATED = D8 + ", w(place, from_cell) AS (SELECT cell, cell FROM e UNION ALL SELECT e.downstream, w.from_cell FROM w JOIN e ON w.place = e.cell WHERE e.downstream IS NOT NULL), acc AS (SELECT place AS cell, count(*) AS acc, sum(from_cell % 7 + 1) AS weighted FROM w GROUP BY place)"
 
 
 @query("flow_accum", f"{ACCUMULATED} SELECT cell, acc FROM acc")
@@ -442,7 +442,7 @@ def _acres(codes: list[int], name: str) -> str:
 
 @query(
     "zone_summary",
-    f"""{GRADIENT}, {FLAGSHIP.removeprefix(POINTS).lstrip(", ")}, y AS (SELECT d.cell, {_ZONE} AS zone_id,
+    f"""{GRADIENT}, {FLAGSHIP.removeprefix(POINTS).lstrip(", ")}, y AS (SELECT d.cell, {_ZONE.replace("col +", "d.col +").replace("- row", "- d.row")} AS zone_id,
   CASE WHEN top IS NULL OR dem IS NULL THEN 0 WHEN chm >= 5 THEN 4 WHEN chm >= 2 THEN 3 WHEN chm >= 0.5 THEN 2 ELSE 1 END AS code, {_SLOPE} AS slope
   FROM d JOIN k USING (cell) LEFT JOIN g USING (cell) LEFT JOIN t USING (cell) JOIN q USING (cell)),
 m AS (SELECT zone_id, count(*) AS cells, avg(slope) AS slope, {_ZONE_COUNTS} FROM y WHERE zone_id IS NOT NULL GROUP BY zone_id),
