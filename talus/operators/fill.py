@@ -1,7 +1,8 @@
 """Filling: voids by relaxation, depressions by flooding.
 
 Both are fixpoints over neighbourhoods.  Voids are independent of each other, so
-each connected void with the ring around it is one group.  Flooding works tile by
+each connected void with the ring around it is one group (or, in a raster of at
+most ``WHOLE`` cells, all are).  Flooding works tile by
 tile: a tile solves itself given its neighbours' border values, and rounds go on
 until no tile changes.
 """
@@ -21,6 +22,8 @@ from ..errors import InputDataError
 from ..model import Grid
 from .graph import components, cut
 
+#: Rasters of at most so many cells are filled within one task.
+WHOLE = 1_000_000
 STEPS8 = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
@@ -58,6 +61,40 @@ def _relaxed(frame: pd.DataFrame, grid: Grid, max_iter: int, tolerance: float, e
     return pd.DataFrame({"cell": rows[holes].astype(np.int64) * grid.width + cols[holes], "v": values[holes]}), n
 
 
+def _nearest(values: np.ndarray) -> np.ndarray:
+    """Each null place's nearest value (of equally near ones, the first by row, then column): a column pass, then a row pass."""
+    height, width = values.shape
+    known = ~np.isnan(values)
+    rows = np.arange(height)[:, None]
+    above = np.maximum.accumulate(np.where(known, rows, -1), axis=0)
+    below = np.minimum.accumulate(np.where(known, rows, height * 4)[::-1], axis=0)[::-1]
+    far = 1e15
+    up, down = np.where(above >= 0, (rows - above) ** 2.0, far), np.where(below < height, (below - rows) ** 2.0, far)
+    nearest = np.where(up <= down, above, below)
+    apart, out, cols = np.minimum(up, down), values.copy(), np.arange(width)
+    for i in np.flatnonzero(~known.all(axis=1)):
+        holes = np.flatnonzero(~known[i])
+        best = (apart[i][None, :] + (holes[:, None] - cols) ** 2.0).argmin(axis=1)
+        out[i, holes] = values[nearest[i, best], best]
+    return out
+
+
+def _filled_whole(frame: pd.DataFrame, grid: Grid, max_iter: int, tolerance: float) -> pd.DataFrame:
+    """All voids of a raster that one task can hold."""
+    values = np.full(grid.shape, np.nan)
+    values[frame["row"].to_numpy(), frame["col"].to_numpy()] = frame["v"].to_numpy(float)
+    i, j = np.nonzero(np.isnan(values))
+    values = _nearest(values)
+    sides = [(np.maximum(i - 1, 0), j), (np.minimum(i + 1, grid.height - 1), j), (i, np.maximum(j - 1, 0)), (i, np.minimum(j + 1, grid.width - 1))]
+    for _ in range(max_iter):
+        after = (values[sides[0]] + values[sides[1]] + values[sides[2]] + values[sides[3]]) / 4.0
+        change = np.abs(after - values[i, j]).max()
+        values[i, j] = after
+        if change < tolerance:
+            break
+    return pd.DataFrame({"cell": i.astype(np.int64) * grid.width + j, "v": values[i, j]})
+
+
 def fill_voids(cells: DataFrame, grid: Grid, value: str = "v", max_iter: int = 400, tolerance: float = 1e-4) -> DataFrame:
     """``cells`` (cell, row, col, value, ...) with every null value filled.
 
@@ -72,6 +109,10 @@ def fill_voids(cells: DataFrame, grid: Grid, value: str = "v", max_iter: int = 4
     if n_void == n_all:
         raise InputDataError("every cell is void; there is nothing to fill from")
     kept = cells.select("cell", "row", "col", F.col(value).cast("double").alias("v"))
+    if n_all <= WHOLE:
+        one = kept.withColumn("_all", F.lit(0)).groupBy("_all")
+        filled = one.applyInPandas(lambda frame: _filled_whole(frame, grid, max_iter, tolerance), "cell long, v double")
+        return cells.join(filled.withColumnRenamed("v", "_filled"), "cell", "left").withColumn(value, F.coalesce(F.col(value), F.col("_filled"))).drop("_filled")
     void = kept.where("v IS NULL").withColumn("near", _neighbours(grid))
     pairs = void.select(F.col("cell").alias("a"), "row", "col", F.explode("near").alias("b"))
     inside = pairs.join(void.select(F.col("cell").alias("b")), "b").select("a", "b")

@@ -1,10 +1,67 @@
-"""Forests of cells: pointer doubling, accumulation and roots, in a logarithmic number of rounds."""
+"""Forests of cells: pointer doubling, accumulation and roots, in a logarithmic number of rounds.
+
+A round is a job, so graphs of at most ``SMALL`` rows, by a count of them, are
+solved by the same rounds within one task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SMALL = 500_000
+
+
+def _in_one_task(rows: DataFrame, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda frame: solve(frame.drop(columns="_all")), schema)
+
+
+def _places(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's place in order of the nodes, and the place of its next, -1 without one."""
+    order = np.argsort(frame["node"].to_numpy())
+    node = frame["node"].to_numpy()[order]
+    following = frame["next"].to_numpy(float, na_value=np.nan)[order]
+    after = np.searchsorted(node, np.nan_to_num(following).astype(np.int64))
+    return order, np.where(np.isnan(following), -1, after)
+
+
+def _accumulated(frame: pd.DataFrame) -> pd.DataFrame:
+    order, after = _places(frame)
+    acc = frame["acc"].to_numpy()[order]
+    while (after >= 0).any():
+        moving = np.flatnonzero(after >= 0)
+        gained = acc.copy()
+        np.add.at(gained, after[moving], acc[moving])
+        acc, after = gained, np.where(after >= 0, after[after], -1)
+    return pd.DataFrame({"node": frame["node"].to_numpy()[order], "acc": acc})
+
+
+def _rooted(frame: pd.DataFrame) -> pd.DataFrame:
+    order, after = _places(frame)
+    node = frame["node"].to_numpy()[order]
+    at = np.where(after >= 0, after, np.arange(len(node)))
+    while (at[at] != at).any():
+        at = at[at]
+    return pd.DataFrame({"node": node, "root": node[at]})
+
+
+def _joined(frame: pd.DataFrame) -> pd.DataFrame:
+    node, ends = np.unique(frame[["a", "b"]].to_numpy(), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    label = np.arange(len(node))
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, a, label[b])
+        np.minimum.at(lower, b, label[a])
+        lower = lower[lower]
+        if (lower == label).all():
+            return pd.DataFrame({"node": node, "root": node[label]})
+        label = lower
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
@@ -23,6 +80,8 @@ def accumulate(nodes: DataFrame, weight: str = "weight") -> DataFrame:
     the 2^k nearest steps upstream and ``next`` points 2^k steps on.
     """
     state = cut(nodes.select("node", "next", F.col(weight).alias("acc")))
+    if state.count() <= SMALL:
+        return _in_one_task(state, _accumulated, f"node long, acc {state.schema['acc'].dataType.simpleString()}")
     while True:
         moving = state.where("next IS NOT NULL")
         if moving.isEmpty():
@@ -38,7 +97,10 @@ def accumulate(nodes: DataFrame, weight: str = "weight") -> DataFrame:
 
 def roots(nodes: DataFrame) -> DataFrame:
     """(node, root): where following ``next`` from each node ends.  nodes: node, next (null at a root)."""
-    state = cut(nodes.select("node", F.coalesce("next", "node").alias("at")))
+    state = cut(nodes.select("node", "next"))
+    if state.count() <= SMALL:
+        return _in_one_task(state, _rooted, "node long, root long")
+    state = state.select("node", F.coalesce("next", "node").alias("at"))
     while True:
         ahead = state.select(F.col("node").alias("at"), F.col("at").alias("after"))
         moved = cut(state.join(ahead, "at").select("node", F.col("after").alias("at"), (F.col("after") != F.col("at")).alias("moved")))
@@ -49,6 +111,9 @@ def roots(nodes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, for every node that has an edge.  edges: a, b."""
+    edges = cut(edges.select("a", "b"))
+    if edges.count() <= SMALL:
+        return _in_one_task(edges, _joined, "node long, root long")
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     both = cut(both.where("u != v").distinct())
     label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
