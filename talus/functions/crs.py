@@ -35,6 +35,39 @@ BETA = (
     4583 / 161280 * N**5 - 108847 / 3991680 * N**6,
     20648693 / 638668800 * N**6,
 )
+#: From the conformal latitude to the geographic one.
+DELTA = (
+    2 * N - 2 / 3 * N**2 - 2 * N**3 + 116 / 45 * N**4 + 26 / 45 * N**5 - 2854 / 675 * N**6,
+    7 / 3 * N**2 - 8 / 5 * N**3 - 227 / 45 * N**4 + 2704 / 315 * N**5 + 2323 / 945 * N**6,
+    56 / 15 * N**3 - 136 / 35 * N**4 - 1262 / 105 * N**5 + 73814 / 2835 * N**6,
+    4279 / 630 * N**4 - 332 / 35 * N**5 - 399572 / 14175 * N**6,
+    4174 / 315 * N**5 - 144838 / 6237 * N**6,
+    601676 / 22275 * N**6,
+)
+
+
+class _Plain:
+    """Functions of floats, under the names that those of columns have."""
+
+    def __getattr__(self, name: str) -> Any:
+        return getattr(math, name)
+
+    @staticmethod
+    def let(value: Any, use: Callable[[Any], Any]) -> Any:
+        return use(value)
+
+
+class _Columns:
+    def __getattr__(self, name: str) -> Any:
+        return getattr(F, name)
+
+    @staticmethod
+    def let(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of a value that is computed once, however often it is used."""
+        return F.transform(F.array(value), use)[0]
+
+
+PLAIN, COLUMNS = _Plain(), _Columns()
 
 
 def epsg(crs: str | None) -> int | None:
@@ -77,52 +110,61 @@ def meters_per_unit(crs: str | None) -> float:
     return 1.0
 
 
+def _series(at: Any, across: Any, coefficients: tuple[float, ...], f: Any, first: str, second: str) -> Any:
+    """Sum of coefficient j times first(2 j at) times second(2 j across)."""
+    out = 0.0
+    for j, a in enumerate(coefficients, 1):
+        out = getattr(f, first)(at * (2 * j)) * getattr(f, second)(across * (2 * j)) * a + out
+    return out
+
+
 def _forward(lon: Any, lat: Any, zone: int, south: bool, f: Any) -> tuple[Any, Any]:
     """Easting and northing; ``f`` has the functions, of floats or of columns."""
     lam = (lon - (6 * zone - 183)) * (math.pi / 180)
-    phi = lat * (math.pi / 180)
-    t = f.sinh(f.atanh(f.sin(phi)) - E * f.atanh(E * f.sin(phi)))
-    xi, eta = f.atan2(t, f.cos(lam)), f.asinh(f.sin(lam) / f.sqrt(t * t + f.cos(lam) * f.cos(lam)))
-    x, y = eta, xi
-    for j, a in enumerate(ALPHA, 1):
-        x = x + f.cos(xi * (2 * j)) * f.sinh(eta * (2 * j)) * a
-        y = y + f.sin(xi * (2 * j)) * f.cosh(eta * (2 * j)) * a
-    return x * (K0 * RADIUS) + FALSE_EASTING, y * (K0 * RADIUS) + (FALSE_NORTHING if south else 0.0)
+    sine = f.sin(lat * (math.pi / 180))
+    t = f.sinh(f.atanh(sine) - f.atanh(sine * E) * E)
+    along = lambda t: f.atan2(t, f.cos(lam))
+    across = lambda t: f.asinh(f.sin(lam) / f.sqrt(t * t + f.cos(lam) * f.cos(lam)))
+
+    def east(xi: Any, eta: Any) -> Any:
+        return (eta + _series(xi, eta, ALPHA, f, "cos", "sinh")) * (K0 * RADIUS) + FALSE_EASTING
+
+    def north(xi: Any, eta: Any) -> Any:
+        return (xi + _series(xi, eta, ALPHA, f, "sin", "cosh")) * (K0 * RADIUS) + (FALSE_NORTHING if south else 0.0)
+
+    def bound(g: Callable[[Any, Any], Any]) -> Any:
+        return f.let(t, lambda v: f.let(along(v), lambda xi: f.let(across(v), lambda eta: g(xi, eta))))
+
+    return bound(east), bound(north)
 
 
 def _inverse(x: Any, y: Any, zone: int, south: bool, f: Any) -> tuple[Any, Any]:
     """Longitude and latitude in degrees."""
     xi, eta = (y - (FALSE_NORTHING if south else 0.0)) / (K0 * RADIUS), (x - FALSE_EASTING) / (K0 * RADIUS)
-    u, v = xi, eta
-    for j, b in enumerate(BETA, 1):
-        u = u - f.sin(xi * (2 * j)) * f.cosh(eta * (2 * j)) * b
-        v = v - f.cos(xi * (2 * j)) * f.sinh(eta * (2 * j)) * b
-    conformal = f.sin(u) / f.sqrt(f.sinh(v) * f.sinh(v) + f.cos(u) * f.cos(u))
-    lam = f.atan2(f.sinh(v), f.cos(u))
-    # The tangent of latitude by Newton's method from the conformal one.
-    tau = conformal
-    for _ in range(4):
-        sigma = f.sinh(f.atanh(tau / f.sqrt(tau * tau + 1.0) * E) * E)
-        at = tau * f.sqrt(sigma * sigma + 1.0) - sigma * f.sqrt(tau * tau + 1.0)
-        slope = f.sqrt(at * at + 1.0) * f.sqrt(tau * tau + 1.0) * (1 - E * E) / (tau * tau * (1 - E * E) + 1.0)
-        tau = tau - (at - conformal) / slope
-    return lam * (180 / math.pi) + (6 * zone - 183), f.atan(tau) * (180 / math.pi)
+    u, v = xi - _series(xi, eta, BETA, f, "sin", "cosh"), eta - _series(xi, eta, BETA, f, "cos", "sinh")
+    lon = f.atan2(f.sinh(v), f.cos(u)) * (180 / math.pi) + (6 * zone - 183)
+    conformal = f.asin(f.sin(u) / f.cosh(v))
+
+    def latitude(chi: Any) -> Any:
+        return sum((f.sin(chi * (2 * j)) * d for j, d in enumerate(DELTA, 1)), chi) * (180 / math.pi)
+
+    return lon, f.let(conformal, latitude)
 
 
 def project(lon: Column, lat: Column, crs: str) -> tuple[Column, Column]:
-    return _forward(lon, lat, *utm_zone(crs), F)
+    return _forward(lon, lat, *utm_zone(crs), COLUMNS)
 
 
 def unproject(x: Column, y: Column, crs: str) -> tuple[Column, Column]:
-    return _inverse(x, y, *utm_zone(crs), F)
+    return _inverse(x, y, *utm_zone(crs), COLUMNS)
 
 
 def project_xy(lon: float, lat: float, crs: str) -> tuple[float, float]:
-    return _forward(lon, lat, *utm_zone(crs), math)
+    return _forward(lon, lat, *utm_zone(crs), PLAIN)
 
 
 def unproject_xy(x: float, y: float, crs: str) -> tuple[float, float]:
-    return _inverse(x, y, *utm_zone(crs), math)
+    return _inverse(x, y, *utm_zone(crs), PLAIN)
 
 
 def project_bounds(bbox: tuple[float, float, float, float], crs: str, points: int = 21) -> tuple[float, float, float, float]:

@@ -80,6 +80,26 @@ def _orders(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"start": start, "strahler_order": order})
 
 
+def _starts(stream: DataFrame) -> DataFrame:
+    """(cell, start) of stream cells: the head or junction that each one's reach starts at."""
+    above = stream.where("downstream IS NOT NULL").select(F.col("downstream").alias("cell"), F.col("cell").alias("up"))
+    nodes = stream.where("inflow = 1").join(above, "cell").select(F.col("cell").alias("node"), F.col("up").alias("next"))
+    heads = stream.where("inflow != 1").select(F.col("cell").alias("node"), F.lit(None).cast("long").alias("next"))
+    return roots(nodes.unionByName(heads)).select(F.col("node").alias("cell"), F.col("root").alias("start"))
+
+
+def _paths(stream: DataFrame, start: DataFrame) -> DataFrame:
+    """start, path, into (the junction that follows), acc and strahler_order of every reach, single cells too."""
+    found = cut(
+        stream.join(start, "cell")
+        .groupBy("start")
+        .agg(F.array_sort(F.collect_list(F.struct("acc", "cell"))).alias("path"), F.max_by("downstream", F.struct("acc", "cell")).alias("into"), F.max("acc").alias("acc"))
+    )
+    basins = roots(found.select(F.col("start").alias("node"), F.col("into").alias("next"))).select(F.col("node").alias("start"), F.col("root").alias("basin"))
+    orders = found.join(basins, "start").select("basin", "start", F.col("into").cast("double").alias("into")).groupBy("basin").applyInPandas(_orders, "start long, strahler_order long")
+    return found.join(orders, "start")
+
+
 def reaches(stream: DataFrame, grid: Grid) -> DataFrame:
     """Reaches between heads, junctions and outlets.
 
@@ -89,19 +109,8 @@ def reaches(stream: DataFrame, grid: Grid) -> DataFrame:
     length_m, contributing_area_ha (at the last cell before the junction).
     """
     stream = cut(stream)
-    above = stream.where("downstream IS NOT NULL").select(F.col("downstream").alias("cell"), F.col("cell").alias("up"))
-    nodes = stream.where("inflow = 1").join(above, "cell").select(F.col("cell").alias("node"), F.col("up").alias("next"))
-    heads = stream.where("inflow != 1").select(F.col("cell").alias("node"), F.lit(None).cast("long").alias("next"))
-    start = roots(nodes.unionByName(heads)).select(F.col("node").alias("cell"), F.col("root").alias("start"))
-    paths = cut(
-        stream.join(start, "cell")
-        .groupBy("start")
-        .agg(F.array_sort(F.collect_list(F.struct("acc", "cell"))).alias("path"), F.max_by("downstream", F.struct("acc", "cell")).alias("into"), F.max("acc").alias("acc"))
-    )
-    basins = roots(paths.select(F.col("start").alias("node"), F.col("into").alias("next"))).select(F.col("node").alias("start"), F.col("root").alias("basin"))
-    orders = paths.join(basins, "start").select("basin", "start", F.col("into").cast("double").alias("into")).groupBy("basin").applyInPandas(_orders, "start long, strahler_order long")
     cells = F.concat(F.transform("path", lambda p: p["cell"]), F.when(F.col("into").isNotNull(), F.array("into")).otherwise(F.array().cast("array<bigint>")))
-    whole = paths.join(orders, "start").withColumn("cells", cells).where(F.size("cells") >= 2)
+    whole = _paths(stream, _starts(stream)).withColumn("cells", cells).where(F.size("cells") >= 2)
     return whole.select(
         F.row_number().over(Window.orderBy("start")).alias("reach_id"),
         "start",
@@ -112,6 +121,13 @@ def reaches(stream: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
+def strahler_orders(stream: DataFrame) -> DataFrame:
+    """(cell, strahler_order) of stream cells."""
+    stream = cut(stream)
+    start = cut(_starts(stream))
+    return start.join(_paths(stream, start).select("start", "strahler_order"), "start").select("cell", "strahler_order")
+
+
 def path_length(cells: str, grid: Grid) -> Column:
     """Meters along the centers of an array of cells that touch each other."""
     width, side, diagonal = grid.width, grid.res_m, grid.res_m * math.sqrt(2.0)
@@ -131,12 +147,6 @@ def simplify_staircase(line: str) -> Column:
     return F.expr(f"filter({line}, (p, i) -> i = 0 OR i = size({line}) - 1 OR {turn})")
 
 
-def strahler_orders(stream: DataFrame, found: DataFrame) -> DataFrame:
-    """(cell, strahler_order) of stream cells: that of the reach that each lies on before its junction."""
-    own = found.select("strahler_order", F.explode(F.expr("slice(cells, 1, size(cells) - 1)")).alias("cell"))
-    return stream.select("cell").join(own, "cell", "left").withColumn("strahler_order", F.coalesce("strahler_order", F.lit(1)))
-
-
 def threshold_cells(params: HydrologyParams, grid: Grid) -> float:
     return params.channel_threshold_ha * 10_000.0 / grid.cell_area_m2
 

@@ -350,8 +350,7 @@ def reaches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("strahler")
 def strahler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of stream cells; tests hold them against a sequential walk."""
-    stream = stream_cells(spark, sf_dir)
-    return hydrology.strahler_orders(stream, hydrology.reaches(stream, GRID))
+    return hydrology.strahler_orders(stream_cells(spark, sf_dir))
 
 
 @query("simplify")

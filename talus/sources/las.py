@@ -101,7 +101,7 @@ class LasReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.paths = expand(options.get("path", "").split(","))
         self.window = tuple(map(float, options["bbox"].split(","))) if options.get("bbox") else None
-        self.chunk = int(options.get("chunkSize", CHUNK))
+        self.chunk = int(options.get("chunksize", CHUNK))
 
     def partitions(self) -> list[Range]:
         out = []
@@ -142,7 +142,7 @@ class LasSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> LasReader:
-        return LasReader(dict(self.options))
+        return LasReader({k.lower(): v for k, v in self.options.items()})
 
 
 def expand(paths: list[str]) -> list[str]:
