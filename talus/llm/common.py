@@ -51,3 +51,11 @@ def lowered(text: str) -> str:
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"if(length({text}) = octet_length({text}), lower({text}), translate({text}, '{upper}', '{upper.lower()}'))"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

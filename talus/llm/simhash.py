@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 THRESHOLD, SHINGLE, SEED, BLOCK, LENGTH = 3, 3, 42, 2048, 31
 
@@ -88,14 +88,15 @@ def _replicate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _forest(left: np.ndarray, right: np.ndarray | None = None, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """Edges that connect what links of at most ``threshold`` bits connect: within one block, or across two."""
     nodes = left if right is None else np.concatenate([left, right])
-    label = np.arange(len(nodes))
+    # Unsigned: bits of a negative number would be counted of its absolute value.
+    ours, others = left.view(np.uint64), (left if right is None else right).view(np.uint64)
+    label, shift = np.arange(len(nodes)), 0 if right is None else len(left)
     edges: list[tuple[int, int]] = []
-    others, shift = (left, 0) if right is None else (right, len(left))
-    for i, value in enumerate(left):
+    for i, value in enumerate(ours):
         near = np.flatnonzero(np.bitwise_count((others[i + 1 :] if right is None else others) ^ value) <= threshold)
         for j in near + (i + 1 if right is None else shift):
             if label[i] != label[j]:
-                edges.append((int(value), int(nodes[j])))
+                edges.append((int(left[i]), int(nodes[j])))
                 label[label == label[j]] = label[i]
     return edges
 
@@ -197,8 +198,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat doc_id and text are one row here.  All columns are kept.
     """
     known = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    winners = groups(docs).groupBy("root").agg(F.min(known).alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.text_hash").alias("w_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("_text_hash") == F.col("w_hash"))
-    kept = hashed.join(winners, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    winners = groups(docs).groupBy("root").agg(F.min(known).alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.text_hash").alias("_w_hash"))
+    name = fresh(docs, "_text_hash")
+    hashed = docs.withColumn(name, F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(winners["_w_id"]) & (hashed[name] == winners["_w_hash"])
+    kept = hashed.join(winners, same, "left_semi").dropDuplicates(["doc_id", name])
     return kept.select(*docs.columns)
