@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import decontaminate, mixing, secrets, simhash, toxicity
-from talus.llm.common import scratch, table
+from talus.llm.common import fresh, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fit to the labelled ones among them, doesn't reject."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    suffix = "_".join(["", *(fresh(docs, n) for n in ("held_out", "score", "predicted"))])  # longer than any such name there is
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=docs.columns, suffix=suffix)
+    return scored.where(F.col(f"predicted{suffix}") == 0).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark passage."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    named = found.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_hash"))
+    named = found.select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash"))
+    same = docs["doc_id"].eqNullSafe(named["_found_id"]) & (F.xxhash64(docs["text"]) == named["_found_hash"])
     return docs.join(named, same, "left_anti")
 
 

@@ -224,16 +224,18 @@ def _with_features(lexicon: dict[str, float]) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, suffix: str = "") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text), with the columns of ``keep`` before them.
 
+    ``suffix`` is added to the three new names, where kept columns have such names.
+
     Null and empty texts are scored as texts without words.  Repeated rows stay
     repeated; a null doc_id is kept, and held out as the empty text's crc32 says.
     """
     names = list(dict.fromkeys(["doc_id", *(keep or [])]))
-    rows = docs.select(*(c for c in names if c != "text"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(*(c for c in names if c != "text"), held_out().alias(f"held_out{suffix}"), F.col("text").cast("string").alias("text"))
     out = rows.schema.fields if "text" in names else rows.schema.fields[:-1]
-    schema = StructType([*out, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    schema = StructType([*out, StructField(f"score{suffix}", DoubleType()), StructField(f"predicted{suffix}", IntegerType())])
     width = len(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,11 +244,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             x = np.array([features(t.as_py(), model.lexicon, memo) for t in batch.column(batch.num_columns - 1)], float).reshape(-1, len(FEATURES))
             found = np.clip(model.score(x), 0.0, 1.0)
             columns = [*batch.columns[:width], pa.array(found), pa.array((found >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:width], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:width], f"score{suffix}", f"predicted{suffix}"])
 
     return rows.mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: list[str] | None = None, suffix: str = "") -> DataFrame:
     """``score`` of ``docs`` by a model ``fit`` to its own labelled rows."""
-    return score(docs, fit(docs, labels, sample), keep)
+    return score(docs, fit(docs, labels, sample), keep, suffix)
