@@ -72,12 +72,13 @@ def load_config(path: str | Path) -> Config:
         raise ConfigError(f"can't read {path}: {e}") from e
 
 
-#: Settings of the packaged example region: a steep, low-canopy hill site.
+#: Settings of the packaged example region, public land with steep knobs.  Fixed values.
 DEMO_REGION = """
 [region]
-name = "Example hills"
-land_status = "example"
-bbox_wgs84 = [-97.842, 30.318, -97.836, 30.323]
+name = "Wichita Mountains NWR sample area"
+land_status = "Federal public land: U.S. Fish and Wildlife Service national wildlife refuge."
+bbox_wgs84 = [-98.6841, 34.7466, -98.6775, 34.7520]
+notes = "Illustrative area only."
 [pipeline.ground]
 terrain_slope = 0.45
 [pipeline.canopy]

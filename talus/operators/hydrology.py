@@ -152,10 +152,13 @@ def threshold_cells(params: HydrologyParams, grid: Grid) -> float:
 
 
 def route_water(cells: DataFrame, grid: Grid, params: HydrologyParams = HydrologyParams(), value: str = "dem") -> tuple[DataFrame, DataFrame]:
-    """``cells`` with filled, sink_depth, direction, downstream, acc and is_channel; and the reaches."""
+    """``cells`` with filled, sink_depth, direction, downstream, acc, is_channel and stream_order (0 off the channels); and the reaches."""
     filled = fill_depressions(cells, grid, value)
     directed = flow_direction(filled, grid).withColumn("downstream", downstream(grid))
     directed = cut(directed.withColumn("sink_depth", F.greatest(F.col("filled") - F.col(value), F.lit(0.0))))
     whole = cut(directed.join(flow_accumulation(directed), "cell"))
     limit = threshold_cells(params, grid)
-    return whole.withColumn("is_channel", F.col("acc") >= limit), reaches(streams(whole, limit), grid)
+    stream = cut(streams(whole, limit))
+    ordered = whole.join(strahler_orders(stream).withColumnRenamed("strahler_order", "stream_order"), "cell", "left")
+    named = ordered.withColumns({"is_channel": F.col("acc") >= limit, "stream_order": F.coalesce("stream_order", F.lit(0))})
+    return named, reaches(stream, grid)

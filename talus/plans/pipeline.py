@@ -38,43 +38,44 @@ def grid_for(cloud: PointCloud, resolution_m: float) -> Grid:
     return Grid.from_bounds(west, south, east, north, resolution_m / cloud.meters_per_unit, cloud.crs, cloud.meters_per_unit)
 
 
-def site_stats(points: DataFrame, cells: DataFrame, reaches: DataFrame, areas: DataFrame, grid: Grid, params: PipelineParams, found: tuple[VegClass, ...], method: str, void_fraction: float) -> DataFrame:
-    """One row of scalars: three aggregates, of points, of cells and of the small tables."""
+def site_stats(points: DataFrame, cells: DataFrame, reaches: DataFrame, areas: DataFrame, grid: Grid, params: PipelineParams, method: str, void_fraction: float) -> DataFrame:
+    """One row of scalars: an aggregate of points, one of cells, and two of small tables."""
     acre = F.lit(grid.cell_area_m2 / SQUARE_METERS_PER_ACRE)
-    of_points = points.agg(F.count("*").alias("points"), F.count_if(noise_mask()).alias("noise_points"), F.count_if("is_ground").alias("ground_points"))
+    of_points = points.agg(F.count("*").alias("points_total"), F.count_if(noise_mask()).alias("points_noise"), F.count_if("is_ground").alias("points_ground"))
     sink = F.col("sink_depth") > params.hydrology.sink_report_depth_m
     of_cells = cells.agg(
         F.min("dem").alias("elevation_min_m"),
         F.max("dem").alias("elevation_max_m"),
-        F.avg("dem").alias("elevation_mean_m"),
+        (F.max("dem") - F.min("dem")).alias("relief_m"),
         F.avg("slope").alias("slope_mean_deg"),
-        F.max("slope").alias("slope_max_deg"),
         terrain.slope_shares().alias("slope_share_percent"),
         F.max("chm").alias("canopy_max_m"),
-        F.avg(F.when(F.col("chm") >= classes.woody_floor(found), F.col("chm"))).alias("woody_mean_m"),
-        (F.max("acc") * F.lit(grid.cell_area_m2 / 10_000)).alias("largest_contributing_ha"),
+        F.max("stream_order").cast("int").alias("max_strahler_order"),
+        (F.max("acc") * F.lit(grid.cell_area_m2 / 10_000)).alias("largest_contributing_area_ha"),
         (F.count_if(sink) * acre).alias("sink_acres"),
-        F.max("sink_depth").alias("sink_depth_max_m"),
-        F.count_if("is_channel").alias("channel_cells"),
+        F.max("sink_depth").alias("max_sink_depth_m"),
     )
-    of_reaches = reaches.agg(F.coalesce(F.sum("length_m"), F.lit(0.0)).alias("channel_length_m"), F.count("*").alias("reaches"), F.coalesce(F.max("strahler_order"), F.lit(0)).alias("max_order"))
-    of_classes = areas.agg(classes.role_acres("woody").alias("woody_acres"), classes.role_acres("treatment").alias("treatment_acres"))
-    one = F.lit(1)
-    joined = of_points.withColumn("k", one)
+    of_reaches = reaches.agg(F.coalesce(F.sum("length_m"), F.lit(0.0)).alias("channel_length_m"), F.count("*").alias("channel_reaches"))
+    of_classes = areas.agg(
+        classes.role_acres("woody").alias("woody_acres"),
+        F.coalesce(F.sum(F.when(F.col("woody"), F.col("percent"))), F.lit(0.0)).alias("woody_percent"),
+        F.array_sort(F.collect_list(F.when(F.col("treatment"), F.struct("code", "name")))).alias("_treatment"),
+        classes.role_acres("treatment").alias("treatment_acres"),
+    )
+    joined = of_points.withColumn("_k", F.lit(1))
     for other in (of_cells, of_reaches, of_classes):
-        joined = joined.join(other.withColumn("k", one), "k")
+        joined = joined.join(other.withColumn("_k", F.lit(1)), "_k")
     area = grid.n_cells * grid.cell_area_m2
-    return joined.drop("k").select(
+    return joined.withColumn("treatment_classes", F.transform("_treatment", lambda c: c["name"])).drop("_k", "_treatment").select(
         "*",
-        F.lit(grid.width).alias("width"),
-        F.lit(grid.height).alias("height"),
+        F.lit(method).alias("ground_method"),
+        ((F.col("points_total") - F.col("points_noise")) / F.lit(area)).alias("point_density_per_m2"),
+        (F.col("points_ground") / F.lit(area)).alias("ground_density_per_m2"),
+        F.lit(100.0 * void_fraction).alias("dem_interpolated_percent"),
+        F.lit(area / SQUARE_METERS_PER_ACRE).alias("area_acres"),
+        F.lit(area / 10_000.0).alias("area_hectares"),
         F.lit(grid.res_m).alias("resolution_m"),
-        (F.col("points") / F.lit(area)).alias("point_density_m2"),
-        (F.col("ground_points") / F.lit(area)).alias("ground_density_m2"),
-        F.lit(area / SQUARE_METERS_PER_ACRE).alias("site_acres"),
-        F.lit(100.0 * void_fraction).alias("interpolated_percent"),
         F.lit(params.hydrology.channel_threshold_ha).alias("channel_threshold_ha"),
-        F.lit(method).alias("ground_method"),
     )
 
 
@@ -110,17 +111,18 @@ def run_pipeline(cloud: PointCloud, params: PipelineParams = PipelineParams(), z
         cells = cut(cells.withColumn("zone_id", F.lit(None).cast("int")))
     reaches = cut(reaches)
     areas = classes.class_areas(cells, found, grid.cell_area_m2)
-    stats = site_stats(points, cells, reaches, areas, grid, params, found, method, void_fraction)
+    stats = site_stats(points, cells, reaches, areas, grid, params, method, void_fraction)
     return Products(grid, params, found, points, cells, reaches, areas, listed, summary, stats, method, void_fraction)
 
 
 def raster_layers(products: Products) -> dict[str, tuple[F.Column, str, float | None]]:
     """Exported layers: the column, its type and its value for no data.  Fixed by what readers of the files expect."""
-    layers: dict[str, tuple[F.Column, str, float | None]] = {name: (F.col(c).cast("float"), "float32", -9999.0) for name, c in (("dem", "dem"), ("dsm", "dsm"), ("chm", "chm"), ("slope_deg", "slope"), ("aspect_deg", "aspect"), ("dem_filled", "filled"), ("sink_depth", "sink_depth"))}
+    layers: dict[str, tuple[F.Column, str, float | None]] = {name: (F.col(c).cast("float"), "float32", -9999.0) for name, c in (("dem", "dem"), ("dsm", "dsm"), ("chm", "chm"), ("slope", "slope"), ("aspect", "aspect"), ("sink_depth", "sink_depth"))}
     layers["hillshade"] = ((F.bround(F.col("hillshade") * 254) + 1).cast("smallint"), "uint8", 0.0)
     layers["flow_direction"] = (F.col("direction"), "uint8", 255.0)
-    layers["flow_accumulation"] = (F.col("acc").cast("int"), "int32", -9999.0)
-    layers["vegetation_class"] = (F.col("code"), "uint8", 0.0)
+    layers["flow_accumulation"] = (F.col("acc").cast("float"), "float32", -9999.0)
+    layers["stream_order"] = (F.least(F.col("stream_order"), F.lit(255)).cast("smallint"), "uint8", 0.0)
+    layers["veg_class"] = (F.col("code"), "uint8", 0.0)
     if products.zones:
         if max(z.zone_id for z in products.zones) > 32767:
             raise InputDataError("too many zones for a 16-bit raster")

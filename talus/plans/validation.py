@@ -66,13 +66,15 @@ def dem_figures(products: Products, scene: Scene) -> DataFrame:
 
 
 def crown_error(products: Products, scene: Scene) -> DataFrame:
-    """Median of how far the highest canopy within a tree's crown is from its height."""
-    grid, reach = products.grid, 1
-    at = scene.plants.where("kind = 'Tree'").select("height", grid.row("y").alias("r"), grid.col("x").alias("c"), F.monotonically_increasing_id().alias("tree"))
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    window = at.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps)).select("tree", "height", (F.col("r") + F.col("dr")).alias("row"), (F.col("c") + F.col("dc")).alias("col"))
-    tops = window.join(products.cells.select("row", "col", "chm"), ["row", "col"]).groupBy("tree", "height").agg(F.max("chm").alias("top"))
-    return tops.agg(F.median(F.abs(F.col("top") - F.col("height"))).alias("error"))
+    """Median of how far the highest canopy around small trees and trees is from the true one, in a window of half a crown's radius."""
+    grid = products.grid
+    half = F.greatest(F.lit(1), F.floor(F.col("radius") * 0.5 / grid.res).cast("int"))
+    at = scene.plants.where("kind IN ('Small tree', 'Tree')").select(grid.row("y").alias("r"), grid.col("x").alias("c"), half.alias("half"), F.monotonically_increasing_id().alias("plant"))
+    steps = F.sequence(-F.col("half"), F.col("half"))
+    window = at.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps)).select("plant", (F.col("r") + F.col("dr")).alias("row"), (F.col("c") + F.col("dc")).alias("col"))
+    both = products.cells.select("cell", "row", "col", "chm").join(scene.truth_cells.select("cell", "true_chm"), "cell")
+    tops = window.join(both, ["row", "col"]).groupBy("plant").agg(F.abs(F.max("chm") - F.max("true_chm")).alias("error"))
+    return tops.agg(F.median("error").alias("error"))
 
 
 def area_errors(products: Products, scene: Scene) -> DataFrame:

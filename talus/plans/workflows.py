@@ -54,7 +54,7 @@ def write_outputs(products: Products, out: str | Path, meta: report.RunMetadata,
     return folder
 
 
-def run_demo(spark: SparkSession, out: str | Path, seed: int = 7, size_m: float = 400.0, params: PipelineParams = PipelineParams(), tol: Tolerances = Tolerances()) -> DemoResult:
+def run_demo(spark: SparkSession, out: str | Path, seed: int = 7, size_m: float = 400.0, params: PipelineParams = PipelineParams(), tol: Tolerances = Tolerances(), rasters: bool = True) -> DemoResult:
     """A synthetic scene through the pipeline, held against its truth; zones go by way of their file."""
     folder = Path(out)
     (folder / "vectors").mkdir(parents=True, exist_ok=True)
@@ -64,16 +64,16 @@ def run_demo(spark: SparkSession, out: str | Path, seed: int = 7, size_m: float
     hydrology = HydrologyParams(CHANNEL_SHARE * size_m**2 / 10_000, params.hydrology.sink_report_depth_m)
     products = run_pipeline(scene.cloud, replace(params, hydrology=hydrology), read_feature_collection(str(path)), scene.grid)
     checks = validate(products, scene, tol)
-    write_outputs(products, folder, report.RunMetadata("Synthetic site", f"seed {seed}, {size_m:g} m"), checks)
+    write_outputs(products, folder, report.RunMetadata("Synthetic site", f"seed {seed}, {size_m:g} m"), checks, rasters)
     return DemoResult(products, checks, folder)
 
 
-def run_on_tiles(spark: SparkSession, tiles: list[str], out: str | Path, config: Config, zones: str | None = None, crs: str | None = None, z_units: str = "auto", ground_method: str | None = None, crop: bool = True) -> Products:
+def run_on_tiles(spark: SparkSession, tiles: list[str], out: str | Path, config: Config, zones: str | None = None, crs: str | None = None, z_units: str = "auto", ground_method: str | None = None, crop: bool = True, rasters: bool = True) -> Products:
     """Point tiles through the pipeline, cropped to the settings' region."""
     params = config.pipeline if ground_method is None else replace(config.pipeline, ground=replace(config.pipeline.ground, method=ground_method))
     region = config.region if crop else None
     cloud = read_las(spark, tiles, region.bbox_wgs84 if region else None, crs, z_units)
     products = run_pipeline(cloud, params, read_feature_collection(zones) if zones else None)
     meta = report.RunMetadata(region.name if region else "Site", f"{len(tiles)} tiles", region.land_status if region else "", region.notes if region else "")
-    write_outputs(products, out, meta)
+    write_outputs(products, out, meta, rasters=rasters)
     return products

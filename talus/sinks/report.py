@@ -58,9 +58,9 @@ def tables(summary: dict[str, Any]) -> list[Table]:
     s = summary["statistics"]
     show = lambda v, unit="": "n/a" if v is None else f"{v:,.2f}{unit}" if isinstance(v, float) else f"{v:,}{unit}"
     key = [
-        ["Points", show(s["points"])],
-        ["Ground points", show(s["ground_points"])],
-        ["Site", show(s["site_acres"], " ac")],
+        ["Points", show(s["points_total"])],
+        ["Ground points", show(s["points_ground"])],
+        ["Site", show(s["area_acres"], " ac")],
         ["Elevation", f"{show(s['elevation_min_m'])} to {show(s['elevation_max_m'], ' m')}"],
         ["Mean slope", show(s["slope_mean_deg"], " deg")],
         ["Highest canopy", show(s["canopy_max_m"], " m")],

@@ -113,7 +113,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert build_parser().parse_args(["demo", "--seed", "3"]).seed == 3
     with pytest.raises(SystemExit):
         build_parser().parse_args(["demo", "--seed", "-1"])
-    assert main(["run"], spark) == 2
+    with pytest.raises(SystemExit):
+        build_parser().parse_args(["run"])
     assert main(["run", "--laz", str(tmp_path / "none.las")], spark) == 2
     (tmp_path / "c.toml").write_text("[pipeline]\nzoom = 1")
     assert main(["run", "--config", str(tmp_path / "c.toml"), "--laz", "x"], spark) == 2
