@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import SQUARE_METERS_PER_ACRE, SQUARE_METERS_PER_HECTARE, VegClass
@@ -31,11 +31,10 @@ def class_areas(cells: DataFrame, classes: tuple[VegClass, ...], cell_area_m2: f
     """
     counted = (cells.where(mask) if mask is not None else cells).where("code > 0").groupBy("code").agg(F.count("*").alias("n"))
     rows = class_table(cells.sparkSession, classes).join(counted, "code", "left").withColumn("cells", F.coalesce("n", F.lit(0)))
-    total = rows.agg(F.sum("cells").alias("total"))
+    total = F.sum("cells").over(Window.partitionBy())  # of a row for each class
     area = F.col("cells") * F.lit(cell_area_m2)
-    percent = F.coalesce(F.try_divide(F.col("cells") * F.lit(100.0), F.col("total")), F.lit(0.0))
-    joined = rows.join(F.broadcast(total))  # one row to each of a handful of classes
-    return joined.select("code", "name", "woody", "treatment", "cells", (area / SQUARE_METERS_PER_HECTARE).alias("area_ha"), (area / SQUARE_METERS_PER_ACRE).alias("area_acres"), percent.alias("percent"))
+    percent = F.coalesce(F.try_divide(F.col("cells") * F.lit(100.0), total), F.lit(0.0))
+    return rows.select("code", "name", "woody", "treatment", "cells", (area / SQUARE_METERS_PER_HECTARE).alias("area_ha"), (area / SQUARE_METERS_PER_ACRE).alias("area_acres"), percent.alias("percent"))
 
 
 def role_acres(role: str) -> Column:
