@@ -32,7 +32,8 @@ ASSIGN = re.compile("(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() el
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so this finds the runs of 24 or more
 
-URL_RUN = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
+URL_RUN = re.compile(r"[^\s\"'<>]+")
+SPACED = re.compile(r"\S+")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
@@ -119,10 +120,12 @@ def _rewritten(layer: Layer, run: re.Match[str], pattern: re.Pattern[str], decod
 def _layers(layer: Layer) -> Iterator[Layer]:
     text = layer[0]
     if "%" in text:
-        for m in URL_RUN.finditer(text):
+        for m in URL_RUN.finditer(text):  # runs first, then escapes in them: a pattern of both would go over a long run again from each of its places
+            if "%" not in m[0] or not URL_ESCAPES.search(m[0]):
+                continue
             yield _rewritten(layer, m, URL_ESCAPES, lambda s: urllib.parse.unquote(s, errors="replace"))
     if "\\" in text or "&#" in text:
-        for line in re.finditer(r"\S*(?:\\[ux]|&#)\S*", text):
+        for line in SPACED.finditer(text):
             if UNICODE_ESCAPES.search(line[0]):
                 yield _rewritten(layer, line, UNICODE_ESCAPES, _escaped)
     for m in BASE64_RUN.finditer(text):

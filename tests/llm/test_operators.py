@@ -370,7 +370,9 @@ def plain_mix(rows, quality):
     return out
 
 
-def test_mixing_equals_a_plain_version(spark):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_mixing_equals_a_plain_version(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
     rng = random.Random(9)
     rows = [(i, rng.choice(["a", "a", "a", "a", "b", "c", "é", None]), " ".join("x" for _ in range(rng.randint(0, 30)))) for i in range(400)]
     rows += [(900, "tiny", "one two"), (901, "none", ""), (902, "none", None), (903, "a", "tab\tand\x0bline\n ends ")]
@@ -481,6 +483,11 @@ def test_nested_layers_are_unwrapped():
     assert secrets.spans(f"{word} 100% of %%% the %e9 \\u12 &#xZ; ====") == ([], [])
 
 
+def test_long_runs_take_linear_time():
+    long = "x%" * 200_000 + " " + "y" * 400_000 + " &# \\\\u " + "Ab" * 200_000 + "==== 50% &#65;"
+    assert secrets.spans(long) == ([], [])
+
+
 def test_secrets_of_odd_tables(spark):
     docs = odd_docs(spark, f"a {KEY} b", "x" * 1_000_000 + " " + KEY)
     found = {r["doc_id"]: r for r in secrets.secrets(docs).collect()}
