@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BUCKETS, MOST, WEIGHTS = 4096, 3, (1, 2, 3)
+FEW, SALTS = 10_000, 64
 
 
 def size_of(text: str = "text") -> Column:
@@ -51,6 +52,20 @@ def targets(sizes: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGH
     return leveled.select("source", "source_size", share.alias("target"))
 
 
+def _by_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with their source's plan, without dealing rows out by source, of which one may have a third.
+
+    A plan of few sources, by a count of them, goes to every task; a larger one is
+    repeated for each of ``SALTS`` parts of a source.
+    """
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if plan.count() <= FEW:
+        return rows.join(F.broadcast(plan), same)
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)))
+    return parts.join(salted, same & (F.col("part") == F.col("salt"))).drop("part", "salt")
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """How often the mix takes each document.
 
@@ -91,7 +106,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, most: int = MOST, wei
         goals.join(last.select(F.col("source").alias("s"), "last"), F.col("source").eqNullSafe(F.col("s")), "left")
         .select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", F.coalesce("last.bucket", F.lit(BUCKETS)).alias("ends"), F.coalesce("last.offset", F.lit(0)).alias("offset"))
     )
-    planned = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    planned = _by_source(rows, cut(plan))
     settled = planned.where("bucket != ends").withColumn("taken", F.expr("size * (epochs + if(bucket < ends, 1, 0))"))
     in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("offset") + F.sum("size").over(in_order) - F.col("size") / 2
