@@ -178,9 +178,9 @@ def _write(base: str) -> object:
         def records() -> Iterator[tuple[int | None, bytes]]:
             for frame in frames:
                 for page_id, url, html, size, sha1, response, first in zip(*(frame[c].tolist() for c in ("page_id", "url", "html", "size", "sha1", "response", "first")), strict=True):
-                    own = None if pd.isna(page_id) else int(page_id)
+                    own = None if page_id is None else int(page_id)
                     payload = (html or "").encode() if response else b""
-                    yield own, record(own, url, payload, int(size), base32(sha1), not response, None if pd.isna(first) else int(first))
+                    yield own, record(own, url, payload, int(size), base32(sha1), not response, None if first is None else int(first))
 
         source = records()
         ahead = next(source, None)
@@ -219,8 +219,8 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     size = int(http.decode().rsplit("Content-Length: ", 1)[1].split("\r\n")[0])
                     page, refers = fields.get("warc-page-id"), fields.get("warc-refers-to", "")
                     out.append((None if page is None else int(page), size, digest, kind, int(refers[10:-1]) if kind == "revisit" else None))
-        made = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        yield made.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+        types = {"page_id": "Int64", "payload_bytes": "int64", "payload_digest": "object", "record_type": "object", "refers_to": "Int64"}
+        yield pd.DataFrame({name: pd.Series([row[i] for row in out], dtype=kind) for i, (name, kind) in enumerate(types.items())})
 
 
 def write_packages(pages: DataFrame, base: str, least: int = 0) -> DataFrame:
@@ -236,7 +236,9 @@ def write_packages(pages: DataFrame, base: str, least: int = 0) -> DataFrame:
     first = rows.groupBy("sha1").agg(F.max("page_id").alias("first")).withColumnRenamed("sha1", "of")
     response = (F.col("size") < least) | F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
     typed = rows.join(first, F.col("sha1") == F.col("of")).withColumn("response", response)
-    kept = typed.select("page_id", "url", F.when(F.col("response"), F.col("html")).alias("html"), "size", "sha1", "response", "first")
+    # Ids travel as text: pandas would make floats of whole numbers beside nulls.
+    named = [F.col(c).cast("string").alias(c) for c in ("page_id", "first")]
+    kept = typed.select("url", F.when(F.col("response"), F.col("html")).alias("html"), "size", "sha1", "response", *named)
     return cut(kept.mapInPandas(_write(base), "path string, n long"))
 
 

@@ -416,6 +416,13 @@ def test_archives_there_and_back(spark, tmp_path):
     least = {r["page_id"]: r["record_type"] for r in warc.archive(table, f"file://{tmp_path}/v", least=100).collect()}
     assert set(least.values()) == {"response"}
     assert warc.archive(empty(spark, "page_id long, url string, html string"), f"file://{tmp_path}/x").count() == 0
+
+
+def test_warc_keeps_large_ids_beside_nulls(spark, tmp_path):
+    big = (1 << 60) + 1
+    table = spark.createDataFrame([(big, "u", "same"), (big - 2, "u", "same"), (None, "u", "same"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive(table, f"file://{tmp_path}/w").collect()}
+    assert got == {(big, "response", None), (big - 2, "revisit", big), (None, "revisit", big), (None, "response", None)}
     package = next((tmp_path / "w").glob("*.wacz"))
     with zipfile.ZipFile(package) as z:  # as another reader sees it
         assert z.testzip() is None and {warc.ARCHIVE, warc.INDEX} == set(z.namelist())
