@@ -12,11 +12,12 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import urllib.parse
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,6 @@ ASSIGN = re.compile("(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() el
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so this finds the runs of 24 or more
 
-URL_RUN = re.compile(r"[^\s\"'<>]+")
-SPACED = re.compile(r"\S+")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
@@ -90,7 +89,7 @@ def _escaped(piece: str) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
 
-Layer = tuple[str, list[int] | None, int, int]  # text, where each character starts and the last ends; or the region all of it is from
+Layer = tuple[str, Sequence[int] | None, int, int]  # text, where each character starts and the last ends; or the region all of it is from
 
 
 def _place(layer: Layer, start: int, end: int) -> tuple[int, int]:
@@ -98,36 +97,39 @@ def _place(layer: Layer, start: int, end: int) -> tuple[int, int]:
     return (starts[start], starts[end]) if starts is not None else (lo, hi)
 
 
-def _rewritten(layer: Layer, run: re.Match[str], pattern: re.Pattern[str], decode: object) -> Layer:
-    """A run with the matches of ``pattern`` decoded, and where each of its characters comes from."""
+def _url_decoded(piece: str) -> tuple[str, list[int]]:
+    """The characters of a row of URL escapes, and where in it each begins; bytes that are not UTF-8 are read as Latin-1."""
+    chars = urllib.parse.unquote_to_bytes(piece).decode(errors="surrogateescape")
+    sizes = [len(c.encode(errors="surrogateescape")) for c in chars]
+    text = "".join(chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) <= 0xDCFF else c for c in chars)
+    return text, [3 * at for at in itertools.accumulate(sizes[:-1], initial=0)]
+
+
+def _rewritten(layer: Layer, pattern: re.Pattern[str], decode: Callable[[str], tuple[str, list[int]]]) -> Layer:
+    """The whole layer with the matches of ``pattern`` decoded, so that a keyword and an escaped value stay together."""
+    text, starts, lo, hi = layer
     out: list[str] = []
-    starts: list[int] = []
-    at = run.start()
-    place = lambda i: _place(layer, i, i)[0] if layer[1] is not None else layer[2]
-    for m in pattern.finditer(layer[0], run.start(), run.end()):
-        starts += [place(i) for i in range(at, m.start())]
-        out.append(layer[0][at : m.start()])
-        made = decode(m[0])  # type: ignore[operator]
-        out.append(made)
-        starts += [place(m.start())] * len(made)
+    places: list[int] = []
+    at = 0
+    for m in pattern.finditer(text):
+        made, offsets = decode(m[0])
+        out += [text[at : m.start()], made]
+        if starts is not None:
+            places.extend(starts[at : m.start()])
+            places.extend(starts[m.start() + o] for o in offsets)
         at = m.end()
-    starts += [place(i) for i in range(at, run.end())]
-    out.append(layer[0][at : run.end()])
-    last = _place(layer, run.start(), run.end())[1]
-    return "".join(out), [*starts, last] if layer[1] is not None else None, layer[2], layer[3]
+    out.append(text[at:])
+    if starts is not None:
+        places.extend(starts[at:])
+    return "".join(out), places if starts is not None else None, lo, hi
 
 
 def _layers(layer: Layer) -> Iterator[Layer]:
     text = layer[0]
-    if "%" in text:
-        for m in URL_RUN.finditer(text):  # runs first, then escapes in them: a pattern of both would go over a long run again from each of its places
-            if "%" not in m[0] or not URL_ESCAPES.search(m[0]):
-                continue
-            yield _rewritten(layer, m, URL_ESCAPES, lambda s: urllib.parse.unquote(s, errors="replace"))
-    if "\\" in text or "&#" in text:
-        for line in SPACED.finditer(text):
-            if UNICODE_ESCAPES.search(line[0]):
-                yield _rewritten(layer, line, UNICODE_ESCAPES, _escaped)
+    if "%" in text and URL_ESCAPES.search(text):
+        yield _rewritten(layer, URL_ESCAPES, _url_decoded)
+    if ("\\" in text or "&#" in text) and UNICODE_ESCAPES.search(text):
+        yield _rewritten(layer, UNICODE_ESCAPES, lambda s: (_escaped(s), [0]))
     for m in BASE64_RUN.finditer(text):
         run = m[0]
         if run.isalpha() and (run.islower() or run[1:].islower()):
@@ -154,10 +156,10 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     found, seen = set(base), {hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()}
     work: list[Layer] = []
     whole = range(len(text) + 1)
-    work.extend(_layers((text, whole, 0, len(text))))  # type: ignore[arg-type]
+    work.extend(_layers((text, whole, 0, len(text))))
     while work:
         layer = work.pop()
-        key = hashlib.blake2b(layer[0].encode(errors="surrogatepass") + repr((layer[2:], layer[1][:1] if layer[1] is not None else None)).encode(), digest_size=16).digest()
+        key = hashlib.blake2b(layer[0].encode(errors="surrogatepass") + repr((layer[2:], layer[1] is None)).encode(), digest_size=16).digest()
         if key in seen:
             continue
         seen.add(key)

@@ -490,6 +490,18 @@ def test_nested_layers_are_unwrapped():
     assert secrets.spans(f"{word} 100% of %%% the %e9 \\u12 &#xZ; ====") == ([], [])
 
 
+def test_escaped_values_stay_with_their_keyword():
+    for text, secret in {
+        'password = "%68unter2secret" x': "%68unter2secret",
+        '{"password": "\\u0068unter2secret"}': "\\u0068unter2secret",
+        "token: '&#104;unter2secret'": "&#104;unter2secret",
+    }.items():
+        end = text.index(secret) + len(secret)
+        assert [(k, e) for _, k, e in secrets.spans(text)[1]] == [(0, end)], text
+        assert "unter2secret" not in secrets.masked(text)
+    assert secrets.spans("token=%61%62%63%64%65%66%20%78")[1] == [(0, 0, 24)]  # ends within a row of escapes
+
+
 def test_long_runs_take_linear_time():
     long = "x%" * 200_000 + " " + "y" * 400_000 + " &# \\\\u " + "Ab" * 200_000 + "==== 50% &#65;"
     assert secrets.spans(long) == ([], [])
