@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import hashlib
 import itertools
@@ -154,6 +155,7 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     text = text or ""
     base = scan(text)
     found, seen = set(base), {hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()}
+    ours = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]  # those of a kind don't overlap
     work: list[Layer] = []
     whole = range(len(text) + 1)
     work.extend(_layers((text, whole, 0, len(text))))
@@ -165,7 +167,11 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
         seen.add(key)
         for start, kind, end in scan(layer[0]):
             lo, hi = _place(layer, start, end)
-            if not any(k == kind and s < hi and lo < e for s, k, e in base):  # not one that stands there already
+            if (lo, kind, hi) in found:
+                continue
+            at = bisect.bisect_right(ours[kind], (lo, len(text) + 1)) - 1
+            s, e = ours[kind][at] if at >= 0 else (0, -1)
+            if not (hi <= e and text[s:e] == layer[0][start:end]):  # not the same one that stands there already
                 found.add((lo, kind, hi))
         work.extend(_layers(layer))
     return base, sorted(found)

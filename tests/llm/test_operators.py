@@ -502,6 +502,15 @@ def test_escaped_values_stay_with_their_keyword():
     assert secrets.spans("token=%61%62%63%64%65%66%20%78")[1] == [(0, 0, 24)]  # ends within a row of escapes
 
 
+def test_decoded_spans_beyond_base_ones_are_kept():
+    text = "api_key=Zx91kQ%2Bp7Lm3N8s end"
+    assert secrets.spans(text) == ([(0, 0, 14)], [(0, 0, 14), (0, 0, 25)]) and secrets.masked(text) == "[SECRET] end"
+    inner = base64.b64encode(b"password=hunter2secret").decode()
+    base, found = secrets.spans(f"token={inner}")
+    assert base == [(0, 0, 6 + len(inner))] and found == [*base, (6, 0, 6 + len(inner))]
+    assert secrets.spans("token=abcdef and 50%25 &#65;") == ([(0, 0, 12)], [(0, 0, 12)])
+
+
 def test_long_runs_take_linear_time():
     long = "x%" * 200_000 + " " + "y" * 400_000 + " &# \\\\u " + "Ab" * 200_000 + "==== 50% &#65;"
     assert secrets.spans(long) == ([], [])
