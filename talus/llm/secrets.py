@@ -37,6 +37,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so this finds the ru
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++(?:={1,2}|[ \t]*+\r?\n[ \t]*+={1,2}(?!=))?")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}|={1,2}")
+STANDARD = str.maketrans("-_", "+/")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
@@ -50,16 +53,19 @@ def scan(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _unpacker(data: bytes) -> object | None:
+    """What unpacks data that begins so."""
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
+
+
 def _unpacked(data: bytes) -> bytes:
     """``data`` as it is, or what it unpacks to; empty if that is damaged or too much."""
     limit = min(MOST_BYTES, MOST_RATIO * max(64, len(data)))
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-        unpack: object = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        unpack = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        unpack = lzma.LZMADecompressor()
-    else:
+    if (unpack := _unpacker(data)) is None:
         return data
     try:
         return unpack.decompress(data, limit)  # type: ignore[attr-defined]
@@ -125,23 +131,54 @@ def _rewritten(layer: Layer, pattern: re.Pattern[str], decode: Callable[[str], t
     return "".join(out), places if starts is not None else None, lo, hi
 
 
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and content of base64 over several lines: lines of equal width and a last one no wider."""
+    for m in BASE64_LINES.finditer(text):
+        runs = [(r.start(), r.end()) for r in BASE64_LINE.finditer(text, m.start(), m.end())]
+        width = [e - s for s, e in runs]
+        i = 0
+        while i < len(runs):
+            j = i
+            while j + 1 < len(runs) and width[j + 1] == width[i]:
+                j += 1
+            last = j + 1 if j + 1 < len(runs) and width[j + 1] < width[i] else j
+            # The first line of all may follow other text in its line, and then be of any width.
+            begin = text.rfind("\n", 0, runs[0][0]) + 1
+            froms = [i] if i != 1 or not text[begin : runs[0][0]].strip() else [i, 0]
+            for k in froms:
+                if last > k:
+                    yield runs[k][0], runs[last][1], "".join(text[s:e] for s, e in runs[k : last + 1])
+            i = j + 1
+
+
+def _base64(run: str) -> bytes | None:
+    """The bytes that a run encodes, if it may encode any."""
+    if run.isalpha() and (run.islower() or run[1:].islower()):
+        return None  # a plain word: decodes to no text in any case but by accident
+    body = run.rstrip("=")
+    if len(run) < 12 or len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode((body + "=" * (-len(body) % 4)).translate(STANDARD), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
 def _layers(layer: Layer) -> Iterator[Layer]:
     text = layer[0]
     if "%" in text and URL_ESCAPES.search(text):
         yield _rewritten(layer, URL_ESCAPES, _url_decoded)
     if ("\\" in text or "&#" in text) and UNICODE_ESCAPES.search(text):
         yield _rewritten(layer, UNICODE_ESCAPES, lambda s: (_escaped(s), [0]))
+    whole: dict[int, int] = {}  # where wrapped compressed data begins, and its end
+    for start, end, run in _wrapped(text):
+        if (data := _base64(run)) is not None and (inner := _readable(data)) is not None:
+            yield inner, None, *_place(layer, start, end)
+            if _unpacker(data) is not None:
+                whole[start] = end
     for m in BASE64_RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() and (run.islower() or run[1:].islower()):
-            continue  # a plain word: decodes to no text in any case but by accident
-        body = run.rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode((body + "=" * (-len(body) % 4)).translate(str.maketrans("-_", "+/")), validate=True)
-        except (binascii.Error, ValueError):
-            continue
+        if m.start() in whole or (data := _base64(m[0])) is None:
+            continue  # its first line alone would unpack to a part of it
         if (inner := _readable(data)) is not None:
             yield inner, None, *_place(layer, m.start(), m.end())
 

@@ -511,6 +511,25 @@ def test_decoded_spans_beyond_base_ones_are_kept():
     assert secrets.spans("token=abcdef and 50%25 &#65;") == ([(0, 0, 12)], [(0, 0, 12)])
 
 
+def test_wrapped_base64_is_one_run():
+    rng = random.Random(3)
+    body = " ".join(f"{rng.getrandbits(30):x} word" for _ in range(12))
+    plain = f"{body} password=hunter2secret".encode()
+    for data in (plain, gzip.compress(plain)):
+        packed = base64.b64encode(data).decode()
+        for width, brk in itertools.product((64, 70, 76), ("\n", "\r\n", "\n  ")):
+            wrapped = brk.join(packed[i : i + width] for i in range(0, len(packed), width))
+            for before, after in (("see this:\n\n", "\n\nthe end"), ("-----BEGIN X-----\n", "\n-----END X-----"), ('data = "', '"')):
+                text = before + wrapped + after
+                found = secrets.spans(text)[1]
+                assert (len(before), 0, len(before) + len(wrapped)) in found, text
+                assert wrapped not in secrets.masked(text)
+    short = base64.b64encode(b"x" * 40 + b" password=hunter2secret").decode()  # the secret lies across two lines
+    head = short[:52]
+    assert secrets.spans(f"key: {head}\n{short[52:]}\n")[1] == [(5, 0, 6 + len(short))]
+    assert secrets.spans("Internationalization\nInternationalization\nshort\n" * 50) == ([], [])
+
+
 def test_long_runs_take_linear_time():
     long = "x%" * 200_000 + " " + "y" * 400_000 + " &# \\\\u " + "Ab" * 200_000 + "==== 50% &#65;"
     assert secrets.spans(long) == ([], [])
