@@ -12,21 +12,25 @@ import base64
 import binascii
 import bisect
 import bz2
+import contextlib
 import hashlib
+import io
 import itertools
 import lzma
 import re
+import tempfile
 import urllib.parse
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-#: No layer may unpack to more bytes than this times its parent's, nor beyond an absolute size: a guard against bombs.
-MOST_RATIO, MOST_BYTES = 1100, 1 << 26
+#: Unpacked data is read in steps, scanned in parts of about ``CHUNK`` bytes; parts overlap where no line ends them.
+STEP, CHUNK, OVERLAP = 1 << 20, 1 << 24, 1 << 16
 
 # What a secret looks like.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -39,6 +43,7 @@ UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
 BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++(?:={1,2}|[ \t]*+\r?\n[ \t]*+={1,2}(?!=))?")
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}|={1,2}")
+BREAK = re.compile(rb"[^A-Za-z0-9+/_=\s-]|[A-Za-z0-9+/_=-][ \t]+[A-Za-z0-9+/_=-]")
 STANDARD = str.maketrans("-_", "+/")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -46,7 +51,7 @@ Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
 def scan(text: str) -> list[Span]:
     """Secrets of one layer as they stand, sorted."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] if "=" in text or ":" in text else []
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -62,30 +67,82 @@ def _unpacker(data: bytes) -> object | None:
     return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _unpacked(data: bytes) -> bytes:
-    """``data`` as it is, or what it unpacks to; empty if that is damaged or too much."""
-    limit = min(MOST_BYTES, MOST_RATIO * max(64, len(data)))
-    if (unpack := _unpacker(data)) is None:
-        return data
-    try:
-        return unpack.decompress(data, limit)  # type: ignore[attr-defined]
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return b""
-
-
-def _readable(data: bytes) -> str | None:
-    """The text that bytes hold, if they hold one."""
-    for _ in range(8):  # compressed layers directly within each other
-        further = _unpacked(data)
-        if further is data or further == data:
-            break
-        data = further
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r")
-    return text if len(text) >= 6 and not odd else None
+def _inflated(file: IO[bytes]) -> Iterator[bytes]:
+    """Pieces of what the streams that ``file`` begins with unpack to, one stream after another, up to damage or the end."""
+    data = file.read(STEP)
+    while (unpack := _unpacker(data)) is not None:
+        try:
+            while not unpack.eof:  # type: ignore[attr-defined]
+                piece = unpack.decompress(data, STEP)  # type: ignore[attr-defined]
+                if piece:
+                    yield piece
+                data = getattr(unpack, "unconsumed_tail", b"")
+                if not data and not unpack.eof and getattr(unpack, "needs_input", not piece) and not (data := file.read(STEP)):  # type: ignore[attr-defined]
+                    return
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        data = unpack.unused_data.lstrip(b"\0")  # type: ignore[attr-defined]  # streams may be padded
+        while len(data) < 8 and (more := file.read(STEP)):
+            data = (data + more).lstrip(b"\0")
+
+
+def _parts(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Long data in parts of bounded size, cut after a line that no secret and no base64 goes beyond."""
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        if len(held) < CHUNK:
+            continue
+        at = held.rfind(b"\n")
+        while at >= 0 and not BREAK.search(held, held.rfind(b"\n", 0, at) + 1, at):
+            at = held.rfind(b"\n", 0, at)
+        if at >= 0:
+            yield bytes(held[: at + 1])
+            del held[: at + 1]
+        elif len(held) >= 4 * CHUNK:  # no such line: parts that overlap
+            yield bytes(held)
+            del held[:-OVERLAP]
+    yield bytes(held)
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """``data`` in parts, unpacked until nothing unpacks; data that unpacks to nothing is read as it is."""
+    seen: set[bytes] = set()
+    with contextlib.ExitStack() as files:
+        level: IO[bytes] = io.BytesIO(data)
+        while True:
+            pieces, first = _inflated(level), b""
+            while len(first) < 8 and (piece := next(pieces, b"")):
+                first += piece
+            if not first:
+                level.seek(0)
+                yield from _parts(iter(lambda: level.read(STEP), b""))  # noqa: B023
+                return
+            pieces = itertools.chain([first], pieces)
+            if _unpacker(first) is None:
+                yield from _parts(pieces)
+                return
+            digest, inner = hashlib.blake2b(), files.enter_context(tempfile.SpooledTemporaryFile(CHUNK))
+            for piece in pieces:
+                digest.update(piece)
+                inner.write(piece)
+            if digest.digest() in seen:  # unpacks to itself
+                return
+            seen.add(digest.digest())
+            inner.seek(0)
+            level.close()
+            level = inner
+
+
+def _readable(data: bytes) -> Iterator[str]:
+    """The texts that bytes hold, if they hold any."""
+    for part in _unpacked(data):
+        try:
+            text = part.decode()
+        except UnicodeDecodeError:
+            continue
+        if len(text) >= 6 and not any(c < " " and c not in "\t\n\r" for c in text):
+            yield text
 
 
 def _escaped(piece: str) -> str:
@@ -170,16 +227,18 @@ def _layers(layer: Layer) -> Iterator[Layer]:
         yield _rewritten(layer, URL_ESCAPES, _url_decoded)
     if ("\\" in text or "&#" in text) and UNICODE_ESCAPES.search(text):
         yield _rewritten(layer, UNICODE_ESCAPES, lambda s: (_escaped(s), [0]))
-    whole: dict[int, int] = {}  # where wrapped compressed data begins, and its end
+    whole: set[int] = set()  # where wrapped compressed data begins
     for start, end, run in _wrapped(text):
-        if (data := _base64(run)) is not None and (inner := _readable(data)) is not None:
-            yield inner, None, *_place(layer, start, end)
-            if _unpacker(data) is not None:
-                whole[start] = end
+        if (data := _base64(run)) is not None:
+            place = _place(layer, start, end)
+            for inner in _readable(data):
+                yield inner, None, *place
+                if _unpacker(data) is not None:
+                    whole.add(start)
     for m in BASE64_RUN.finditer(text):
         if m.start() in whole or (data := _base64(m[0])) is None:
             continue  # its first line alone would unpack to a part of it
-        if (inner := _readable(data)) is not None:
+        for inner in _readable(data):
             yield inner, None, *_place(layer, m.start(), m.end())
 
 
@@ -193,11 +252,13 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     base = scan(text)
     found, seen = set(base), {hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()}
     ours = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]  # those of a kind don't overlap
-    work: list[Layer] = []
+    work: list[Iterator[Layer]] = []
     whole = range(len(text) + 1)
-    work.extend(_layers((text, whole, 0, len(text))))
+    work.append(_layers((text, whole, 0, len(text))))
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         key = hashlib.blake2b(layer[0].encode(errors="surrogatepass") + repr((layer[2:], layer[1] is None)).encode(), digest_size=16).digest()
         if key in seen:
             continue
@@ -210,7 +271,7 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
             s, e = ours[kind][at] if at >= 0 else (0, -1)
             if not (hi <= e and text[s:e] == layer[0][start:end]):  # not the same one that stands there already
                 found.add((lo, kind, hi))
-        work.extend(_layers(layer))
+        work.append(_layers(layer))
     return base, sorted(found)
 
 

@@ -1,16 +1,19 @@
 """Each operator against a plain version of itself, and on odd tables."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import io
 import itertools
 import json
+import lzma
 import math
 import random
 import re
 import urllib.parse
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -525,11 +528,37 @@ def test_wrapped_base64_is_one_run():
                 assert (len(before), 0, len(before) + len(wrapped)) in found, text
                 assert wrapped not in secrets.masked(text)
     short = base64.b64encode(b"x" * 40 + b" password=hunter2secret").decode()  # the secret lies across two lines
-    head = short[:52]
-    assert secrets.spans(f"key: {head}\n{short[52:]}\n")[1] == [(5, 0, 6 + len(short))]
+    assert secrets.spans(f"key: {short[:64]}\n{short[64:]}\n")[1] == [(5, 0, 6 + len(short))]
     assert secrets.spans("Internationalization\nInternationalization\nshort\n" * 50) == ([], [])
 
 
+def test_compressed_data_is_read_to_its_end():
+    def found(data):
+        text = f"x {base64.b64encode(data).decode()} y"
+        return secrets.spans(text)[1] == [(2, 0, len(text) - 2)] and secrets.masked(text) == "x [SECRET] y"
+
+    key = b"password=hunter2secret"
+    lines = b"a line of a log that repeats\n" * 40_000
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        assert found(pack(lines + key))
+        assert found(pack(b"one ") * 3 + pack(key))
+        nested = key
+        for _ in range(12):
+            nested = pack(nested)
+        assert found(nested)
+    assert found(gzip.compress(b"z" * 5_000_000 + b"\n" + key))
+    assert found(gzip.compress(b"x password=hunter2secret"))  # "x " begins as zlib data may
+    assert not found(gzip.compress(lines))
+
+
+def test_parts_are_cut_where_nothing_goes_on(monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 100)
+    monkeypatch.setattr(secrets, "STEP", 64)
+    packed = base64.encodebytes(gzip.compress(" ".join(f"{i} word" for i in range(60)).encode() + b" password=hunter2secret")).decode()
+    text = base64.b64encode(gzip.compress(b"some words\n" * 15 + packed.encode() + b"more words\n" * 30)).decode()
+    assert secrets.spans(text)[1] == [(0, 0, len(text))]
+
+
 def test_long_runs_take_linear_time():
     long = "x%" * 200_000 + " " + "y" * 400_000 + " &# \\\\u " + "Ab" * 200_000 + "==== 50% &#65;"
     assert secrets.spans(long) == ([], [])
