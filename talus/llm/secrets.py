@@ -1,9 +1,11 @@
 """Secret scans that unwrap nested encodings until nothing new appears.
 
-A text is the first entry of a worklist.  Each layer is scanned, then its URL
-escapes, Unicode escapes, base64 runs and compressed data become further layers,
-each with a map back to places in the whole text.  A digest of every layer seen
-breaks cycles.  Each text is handled by itself, in one pass over the table.
+A text is the first entry of a worklist.  Each layer is scanned, then the layer
+with its URL escapes decoded, that with its Unicode escapes decoded, its base64
+runs (over several lines too) and compressed data become further layers, with a
+map back to places in the whole text.  Decoded bytes are read whatever they hold.
+A digest of every layer seen breaks cycles.  Each text is handled by itself, in
+one pass over the table.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ ASSIGN = re.compile("(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() el
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so this finds the runs of 24 or more
 
+URL_BYTES = re.compile(r"%(?:00|1[fF]%8[bB]|[fF][dD]7zXZ|01|5[eE]|9[cC]|[dD][aA])|BZh[1-9]")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
@@ -45,6 +48,11 @@ BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\
 BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}|={1,2}")
 BREAK = re.compile(rb"[^A-Za-z0-9+/_=\s-]|[A-Za-z0-9+/_=-][ \t]+[A-Za-z0-9+/_=-]")
 STANDARD = str.maketrans("-_", "+/")
+WIDE_LITTLE, WIDE_BIG = (re.compile(rb"(?:%b){12,}" % pair, re.DOTALL) for pair in (rb"[^\0]\0", rb"\0[^\0]"))
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|x[\x01\x5e\x9c\xda]")
+URL_RUN = re.compile(r"[^\s\"'<>]+")
+#: The fewest characters that a secret, or what encodes one, has.
+LEAST = 12
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
@@ -86,6 +94,17 @@ def _inflated(file: IO[bytes]) -> Iterator[bytes]:
             data = (data + more).lstrip(b"\0")
 
 
+def _unpacks(head: bytes) -> bool:
+    """Whether data that begins so may unpack; no longer head is needed to tell noise."""
+    if (unpack := _unpacker(head)) is None:
+        return False
+    try:
+        unpack.decompress(head, STEP)  # type: ignore[attr-defined]
+    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        return False
+    return True
+
+
 def _parts(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """Long data in parts of bounded size, cut after a line that no secret and no base64 goes beyond."""
     held = bytearray()
@@ -135,14 +154,19 @@ def _unpacked(data: bytes) -> Iterator[bytes]:
 
 
 def _readable(data: bytes) -> Iterator[str]:
-    """The texts that bytes hold, if they hold any."""
+    """The readings of bytes: as UTF-8, else Latin-1, and what of them may be UTF-16; whether they are noise is left to the patterns."""
     for part in _unpacked(data):
+        if len(part) < LEAST:
+            continue
         try:
-            text = part.decode()
+            yield part.decode()
         except UnicodeDecodeError:
-            continue
-        if len(text) >= 6 and not any(c < " " and c not in "\t\n\r" for c in text):
-            yield text
+            yield part.decode("latin-1")
+        if b"\0" in part:
+            # Rows of Latin-1 characters in UTF-16, wherever they begin; a form feed between them is in no pattern.
+            for wide, at in ((WIDE_LITTLE, 0), (WIDE_BIG, 1)):
+                if rows := [m[0][at::2] for m in wide.finditer(part)]:
+                    yield b"\f".join(rows).decode("latin-1")
 
 
 def _escaped(piece: str) -> str:
@@ -188,6 +212,16 @@ def _rewritten(layer: Layer, pattern: re.Pattern[str], decode: Callable[[str], t
     return "".join(out), places if starts is not None else None, lo, hi
 
 
+def _escaped_bytes(layer: Layer, run: re.Match[str]) -> Iterator[Layer]:
+    """Layers of a run whose URL escapes give compressed data or UTF-16."""
+    data = urllib.parse.unquote_to_bytes(run[0])
+    place = _place(layer, run.start(), run.end())
+    starts = {m.start() for m in MAGIC.finditer(data) if _unpacks(data[m.start() : m.start() + (1 << 12)])}
+    for start in sorted(starts | ({0} if b"\0" in data else set())):
+        for inner in _readable(data[start:]):
+            yield inner, None, *place
+
+
 def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and content of base64 over several lines: lines of equal width and a last one no wider."""
     for m in BASE64_LINES.finditer(text):
@@ -225,6 +259,9 @@ def _layers(layer: Layer) -> Iterator[Layer]:
     text = layer[0]
     if "%" in text and URL_ESCAPES.search(text):
         yield _rewritten(layer, URL_ESCAPES, _url_decoded)
+        for m in URL_RUN.finditer(text):
+            if "%" in m[0] and URL_BYTES.search(m[0]):
+                yield from _escaped_bytes(layer, m)
     if ("\\" in text or "&#" in text) and UNICODE_ESCAPES.search(text):
         yield _rewritten(layer, UNICODE_ESCAPES, lambda s: (_escaped(s), [0]))
     whole: set[int] = set()  # where wrapped compressed data begins

@@ -559,6 +559,23 @@ def test_parts_are_cut_where_nothing_goes_on(monkeypatch):
     assert secrets.spans(text)[1] == [(0, 0, len(text))]
 
 
+def test_decoded_layers_need_not_be_plain_text():
+    key = "password=hunter2secret"
+    noise = bytes(range(256))
+    datas = [key.encode("utf-16"), f"né {key}".encode("latin-1"), f"\x1b[31m{key}\x1b[0m\f".encode(), noise + key.encode() + noise, b"odd" + key.encode("utf-16-be") + noise, gzip.compress(key.encode("utf-16-le"))]
+    for data in datas:
+        text = f"x {base64.b64encode(data).decode()} y"
+        assert secrets.spans(text)[1] == [(2, 0, len(text) - 2)], data
+        assert secrets.masked(text) == "x [SECRET] y"
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        for before in ("", "data="):
+            text = f"x {before}{urllib.parse.quote_from_bytes(pack(key.encode()))} y"
+            assert (2, 0, len(text) - 2) in secrets.spans(text)[1], text
+    text = f"x {urllib.parse.quote_from_bytes(key.encode('utf-16'))} y"
+    assert (2, 0, len(text) - 2) in secrets.spans(text)[1]
+    assert secrets.spans(f"x {base64.b64encode(noise * 9).decode()} y") == ([], [])
+
+
 def test_long_runs_take_linear_time():
     long = "x%" * 200_000 + " " + "y" * 400_000 + " &# \\\\u " + "Ab" * 200_000 + "==== 50% &#65;"
     assert secrets.spans(long) == ([], [])
