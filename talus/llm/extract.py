@@ -38,17 +38,27 @@ TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 WORD_END = re.compile(r"[^a-z0-9]+")
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether the attributes hide their element: only by ``hidden`` itself, ``aria-hidden`` or ``style``, not by what other values say."""
+    for key, *values in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), entities.unescape("".join(values)).strip()
+        if key == "hidden" and value.lower() != "until-found" or key == "aria-hidden" and value.lower() == "true" or key == "style" and INVISIBLE.search(value):
+            return True
+    return False
+
+
 def _left_out(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element holds no part of the article."""
     if name in LEFT_OUT or name == "header" and not inside:
         return True
     if not attributes or name in ("html", "body", "main") or name in VOID:
         return False
-    if HIDDEN.search(attributes):
+    if _hidden(attributes):
         return True
     for key, *values in NAMED.findall(attributes):
         value = "".join(values).lower()

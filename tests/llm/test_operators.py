@@ -106,6 +106,14 @@ def test_articles_are_taken_from_their_pages():
     assert extract.main_text("<article><p>cut off in the mid") == "cut off in the mid"
 
 
+def test_only_hidden_elements_are_left_out():
+    for shown in ("class='overflow-hidden'", 'style="overflow:hidden; color:red"', "title='a hidden lake'", 'aria-hidden="false"', "data-hidden=1", "hidden=until-found", "data-style='display:none'"):
+        assert extract.main_text(f"<article {shown}><p>Text</p></article>") == "Text", shown
+        assert extract.main_text(f"<article><p>A <a href='/hidden-valley' {shown}>link</a></p></article>") == "A link", shown
+    for gone in ("hidden", "HIDDEN=''", "class=x hidden=hidden", "aria-hidden=true", 'style="color:red; display : none"', "style='visibility:hidden !important;'"):
+        assert extract.main_text(f"<article><div {gone}>No</div><p>Text</p></article>") == "Text", gone
+
+
 def test_extraction_of_odd_tables(spark):
     rows = [(1, "u", PAGE % "<article><p>Text</p></article>"), (1, "u", PAGE % "<article><p>Text</p></article>"), (None, None, None), (2, "v", "<article><p>" + "word " * 200_000 + "</p></article>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2)})
