@@ -39,6 +39,7 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+LINK = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 WORD_END = re.compile(r"[^a-z0-9]+")
 
@@ -77,7 +78,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     """Text, characters of links, and whether in a main element, of each block that may belong to the article."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    linked = depth = links = 0
+    linked = closed = False  # in a link, and one that has an end
+    depth = links = 0
     skipped, nested = "", 0
 
     def close() -> None:
@@ -103,11 +105,12 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name in BLOCKS:
             close()
+            linked = linked and closed  # a link without an end reaches no further than its block
         if ending:
             if name in MAIN:
                 depth = max(0, depth - 1)
             elif name == "a":
-                linked = max(0, linked - 1)
+                linked = False
             continue
         if _left_out(name, m["attributes"], depth > 0):
             if name not in VOID and not m["attributes"].endswith("/"):
@@ -116,7 +119,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         elif name in MAIN:
             depth += 1
         elif name == "a":
-            linked += 1
+            linked = any(key.lower() == "href" for key, *_ in ATTRIBUTE.findall(m["attributes"]))
+            following = LINK.search(page, m.end()) if linked else None
+            closed = following is not None and bool(following[1])
         elif name in ("br", "td", "th"):
             parts.append(" ")
     close()
@@ -136,7 +141,7 @@ def main_text(page: str | None) -> str:
     while i < len(sums):
         if threshold and sums[i] >= threshold:  # a surge
             dive = next((j for j in range(i, len(sums)) if not sums[j]), len(sums))
-            kept += [found[j][0] for j in range(i, dive) if lengths[j] > 0]
+            kept += [found[j][0] for j in range(i, dive) if lengths[j] > 0 or not main]  # a paragraph may be all link
             i = dive
         else:
             i += 1

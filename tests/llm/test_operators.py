@@ -114,6 +114,18 @@ def test_only_hidden_elements_are_left_out():
         assert extract.main_text(f"<article><div {gone}>No</div><p>Text</p></article>") == "Text", gone
 
 
+def test_links_end_and_stay_in_articles():
+    body = [f"{'A sentence of the story that goes on. ' * 3}{i}" for i in range(4)]
+    story = "".join(f"<p>{p}</p>" for p in body)
+    for before in ("<a name=top>", "<div><a href='/x'>Home</div>", "<p><a href='/x'>Home", "<a href='/x'>Home<p>", "<a href='/x'>One <a href='/y'>Two</a>"):
+        for after in ("", "<p>See <a href='/z'>this</a></p>"):
+            assert all(p in extract.main_text(f"<html><body>{before}{story}{after}</body></html>").split("\n") for p in body), before
+    inside = f"<div><p>{body[0]}</p><p><a href='/x'>All of it a link</a></p><p>{body[1]}</p></div>"
+    assert extract.main_text(inside).split("\n") == [body[0], "All of it a link", body[1]]
+    menu = "".join(f"<a href='/{i}'><div>Entry with quite a long title, number {i}</div></a>" for i in range(9))
+    assert "number 1" not in extract.main_text(f"<div>{menu}</div><div>{story}</div>")
+
+
 def test_extraction_of_odd_tables(spark):
     rows = [(1, "u", PAGE % "<article><p>Text</p></article>"), (1, "u", PAGE % "<article><p>Text</p></article>"), (None, None, None), (2, "v", "<article><p>" + "word " * 200_000 + "</p></article>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2)})
