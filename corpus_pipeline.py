@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import decontaminate, mixing, secrets, simhash, toxicity
+from talus.llm import decontaminate, mixing, nearcopies, secrets, toxicity
 from talus.llm.common import fresh, scratch, table
 
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.one_of_each(docs)
+    """One document of each group that word shingles of five with a similarity of 0.8 or more link."""
+    return nearcopies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

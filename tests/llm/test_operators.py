@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talus.llm import decontaminate, extract, mixing, secrets, simhash, tokens, topk, toxicity, urls, warc
+from talus.llm import decontaminate, extract, mixing, nearcopies, secrets, simhash, tokens, topk, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside, to clash with.
@@ -254,6 +254,44 @@ def test_near_duplicates_of_odd_tables(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0 == simhash.one_of_each(empty(spark)).count()
 
 
+# Near copies
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(nearcopies, "SMALL", small)
+    rng = random.Random(9)
+    line = " ".join(f"common{i}" for i in range(30))
+    texts = [None, "", "a b", "A  b", "a b c d e", "a b c d f"]
+    for k in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 300]))]
+        for changes in (0, 0, 1, 2, 4, 6, 8):  # similarities of about 0.4 to 1
+            changed = list(words)
+            for at in rng.sample(range(len(words)), changes):
+                changed[at] = f"x{rng.random()}"
+            texts.append(" ".join(changed) + (f" {line}" if k % 3 else ""))
+    texts += [f"{line} {line[:50 + i]} own{i % 7}" for i in range(60)]  # many at the same shingles
+    sets = [set(nearcopies.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            near += sets[i] != sets[j]
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS).withColumns({c: F.lit("clash") for c in CLASHES})
+    kept = nearcopies.one_of_each(docs)
+    assert near > 50 and kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
+    assert nearcopies.one_of_each(empty(spark)).count() == 0
+
+
 # URL filters
 
 
