@@ -30,7 +30,9 @@ from .simhash import SEED, components
 #: Word shingles and the least similarity of near copies, unless a contract says otherwise.
 SHINGLE, SIMILAR = 5, 0.8
 #: Sampled texts and shingles held as common; the most sets that are paired at once; sets a round.
-SAMPLE, COMMON, SMALL, REPS = 20_000, 100_000, 32, 8
+SAMPLE, COMMON, SMALL, REPS = 10_000, 100_000, 32, 8
+#: As many sets are named to every task that reads texts; more are joined, which deals the texts.
+FEW = 1_000_000
 
 PAIRS = "a long, b long, token long, id long, n long, prev long"
 
@@ -58,7 +60,7 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     every = max(1, texts.count() // SAMPLE)
     tokens = texts.where(F.expr(f"pmod(text_hash, {every}) = 0")).select("text").mapInArrow(run, "token long")
-    found = tokens.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).toPandas().sort_values("token")
+    found = tokens.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).toPandas().sort_values("token")
     return found["token"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
@@ -164,7 +166,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, named: DataFrame, size: int, si
                 near.append(both >= similar * (len(left) + len(right) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    wanted = named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    wanted = cut(named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     whole = cut(texts.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, members array<long>"))
     left, right = (whole.select(F.col("node").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long"))
