@@ -126,6 +126,67 @@ def test_links_end_and_stay_in_articles():
     assert "number 1" not in extract.main_text(f"<div>{menu}</div><div>{story}</div>")
 
 
+def brute_kept(found):
+    """Surges and dives looked up window by window."""
+    n, w = len(found), extract.WINDOW
+    total = lambda i: sum(x.weight for x in found[i : i + w])
+    best = max(map(total, range(n)), default=0)
+    upper = min(best, max(extract.SURGE_LEAST, min(extract.SURGE * best, extract.SURGE_MOST)))
+    lower = min(extract.DIVE * best, extract.DIVE_MOST)
+    thick = [best > 0 and total(i) > 0 and any(total(j) >= lower for j in range(max(0, i - w + 1), i + 1)) for i in range(n)]
+    reached = [any(all(thick[min(i, j) : max(i, j) + 1]) and total(j) >= upper for j in range(n)) for i in range(n)]
+    out = [found[i].text != "" and thick[i] and reached[i] for i in range(n)]
+
+    def between(i, j):
+        return min(x.depth for x in found[i : j + 1]) >= min(found[i].depth, found[j].depth) - 1 and not any(out[i + 1 : j])
+
+    gaps = [(i, j) for i in range(n) for j in range(i + 1, n) if out[i] and out[j] and between(i, j)]
+    return [out[i] or found[i].text != "" and any(a < i < b for a, b in gaps) for i in range(n)]
+
+
+def test_surges_and_dives_are_those_of_every_window():
+    rng = random.Random(6)
+    for _ in range(300):
+        found, depth = [], 1
+        for _ in range(rng.randrange(25)):
+            depth = max(0, depth + rng.choice((-1, 0, 0, 1)))
+            size = rng.choice((0, 0, 0, 3, 9, 25, 60, 200, 3000))
+            found.append(extract.Line("x" * size, size * rng.choice((0.125, 0.5, 1, 32)), depth))
+        assert extract.kept(found) == brute_kept(found)
+
+
+def test_lengths_decide_on_labelled_pages():
+    long = ["A sentence of the story that goes on and on, with some clauses. " * 2 + str(i) for i in range(3)]
+    body = "".join(f"<p>{p}</p>" for p in long)
+    loose = "".join(f"<div>{p}</div>" for p in long)
+    cases = {
+        # no article tag: thin text after the article's container, and menus of links, are beyond the dive
+        f"<body><div>{body}</div><div>Copyright 2020 Foo Inc</div><div>Terms</div></body>": long,
+        f"<body><div><a href='/'>Home</a></div><div><a href='/n'>News</a></div><div id=text>{body}</div></body>": long,
+        f"<body><div>{loose}</div><div>Copyright 2020 Foo Inc</div></body>": [p.strip() for p in long],
+        # thin paragraphs within and at the end of one container stay
+        f"<div>{body}<p>Yes.</p><p>No.</p><p>Yes.</p><p>No.</p><p>Yes.</p>{body}<p>End</p></div>": [*long, "Yes.", "No.", "Yes.", "No.", "Yes.", *long, "End"],
+        f"<div><div>{long[0]}</div><div>Short</div><div>{long[1]}</div></div>": [long[0], "Short", long[1]],
+        # elements whose end tags are missing end where HTML says
+        f"<article><p class=notice>By X<p>{long[0]}<p>{long[1]}</article>": long[:2],
+        f"<article><ul><li class='nav-item'>Skip<li>{long[0]}</ul><p>{long[1]}</article>": long[:2],
+        f"<article><table><tr><td class=ad>Buy<td>{long[0]}<tr><td>{long[1]}</table></article>": long[:2],
+        f"<article><p><span class=ad>Buy<p>{long[0]}</article>": long[:1],
+        # only whole names mark what is no article
+        f"<article><div class='ad-hoc no-sidebar'>{body}</div><div class='site-header'>Site</div></article>": long,
+        # linked paragraphs and short articles
+        f"<article>{body}<p><a href=x>All of it a link</a></p></article>": [*long, "All of it a link"],
+        f"<div>{body}<p><a href=x>All of it a link</a></p>{body}</div>": [*long, "All of it a link", *long],
+        "<p>A line outside</p><article><h1>Yes</h1></article><div>Copyright 2020 Foo Inc</div>": ["Yes"],
+        # text beside an article that is as dense as one competes by its density, thin text doesn't
+        f"<p>Some teaser of about fifty characters, no more.</p><article>{body}</article>": long,
+        "<article></article>": [],
+        "<div>Only a few words</div>": ["Only a few words"],
+    }
+    for page, text in cases.items():
+        assert extract.main_text(page).split("\n") == ([t.strip() for t in text] or [""]), page
+
+
 def test_extraction_of_odd_tables(spark):
     rows = [(1, "u", PAGE % "<article><p>Text</p></article>"), (1, "u", PAGE % "<article><p>Text</p></article>"), (None, None, None), (2, "v", "<article><p>" + "word " * 200_000 + "</p></article>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2)})
