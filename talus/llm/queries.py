@@ -33,13 +33,13 @@ _WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}
 @query(
     "op1_exact_top_k",
     """
-WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) AS bigint)) AS v FROM embeddings
+WITH e AS (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) AS bigint)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, r.vec_id, cast(list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS bigint) AS score
-      FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
+p AS (SELECT q.row_id, q.vec_id AS query_id, r.vec_id, cast(list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS bigint) AS score
+      FROM e q JOIN e r ON q.row_id <> r.row_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, cast(n AS integer) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p) WHERE n <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS n FROM p) WHERE n <= 20
 """,
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,30 +46,41 @@ def empty(spark, schema=DOCS):
 
 
 def brute_top_k(rows, k):
-    valid = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    ints = {(i, tuple(math.floor(64 * x) for x in v)) for i, v in valid}
+    valid = [(i, [math.floor(64 * x) if abs(x) < 2**52 else 64 * int(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in ints:
+    for at, (q, a) in enumerate(valid):
         if q % 20 == 0:
-            found = sorted(((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in ints if i != q))[:k]
+            scores = [(sum(x * y for x, y in zip(a, b, strict=False)), i) for other, (i, b) in enumerate(valid) if other != at]
+            found = sorted((-min(max(s, -(2**63)), 2**63 - 1), i) for s, i in scores)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [8192, 37])
-def test_top_k_is_exact(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "BLOCK", block)
-    monkeypatch.setattr(topk, "QUERIES", 5 if block == 37 else 2048)
+def top_rows(table, k=20):
+    return sorted(map(tuple, topk.top_k(table, k).select("query_id", "rank", "vec_id", "score").collect()))
+
+
+@pytest.mark.parametrize("small", [1 << 19, 300])
+def test_top_k_is_exact(spark, monkeypatch, small):
+    monkeypatch.setattr(topk, "SMALL", small)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.15, 8).astype(np.float32).tolist()) for i in range(300)]
     same = rows[7][1]
-    rows += [(i, same) for i in range(300, 420)] + [rows[40], (500, None), (None, same), (501, [float("nan")] * 8), (502, [None] * 8), (520, [0.0] * 8)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(0) for c in ("v", "h", "block", "rank")})
-    got = sorted(map(tuple, topk.top_k(table, 20).select("query_id", "rank", "vec_id", "score").collect()))
-    assert got == brute_top_k(rows, 20)
+    rows += [(i, same) for i in range(300, 420)] + [rows[40]] + [rows[60]] * 30 + [rows[3]] * 25  # rows that repeat are rows each
+    rows += [(80, rng.normal(0, 0.15, 8).astype(np.float32).tolist()) for _ in range(40)]  # an id with many vectors
+    rows += [(500, None), (None, same), (501, [float("nan")] * 8), (502, [None] * 8), (520, [0.0] * 8), (521, same[:5]), (540, [-0.0] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(0) for c in ("v", "block", "rank", "rid", "copies", "asks")})
+    assert top_rows(table) == brute_top_k(rows, 20)
     assert topk.top_k(empty(spark, "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0**22, 2.0**28, 2.0**34, 2.0**60, 1e300])
+def test_scores_of_large_components_are_exact(spark, size):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.uniform(-1, 1, 16) * size).tolist()) for i in range(60)]
+    assert top_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute_top_k(rows, 20)
+
+
 def test_few_rows_give_what_there_is(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5])], "vec_id long, embedding array<float>")
     assert list(map(tuple, topk.top_k(table).collect())) == [(0, 1, 1, 64 * 32)]
@@ -79,12 +90,16 @@ def test_the_bound_stops_a_search_early():
     rng = np.random.default_rng(2)
     vectors = np.zeros((4000, 4))
     vectors[:, 0] = np.sort(rng.exponential(100, 4000))
+    vectors[:, 1] = rng.normal(0, 1, 4000)
     lists = topk.Lists(np.arange(4000), vectors)
-    depths = []
-    reach = lists.reach
-    lists.reach = lambda q, d: depths.append(d) or reach(q, d)
-    assert [i for _, i in lists.top(np.array([1.0, 0, 0, 0]), -1, 5)] == list(range(3999, 3994, -1))
-    assert max(depths) < 4000 / 2
+    queries = np.array([[1.0, 0, 0, 0], [-1, 0, 0, 0], [5, 1, 0, 0], [0, 1, 0, 0]])
+    depths = lists.stops(queries, np.full(4, -1), 5)
+    assert (depths > 0).all() and (depths < 400).all()
+    for query, depth, found in zip(queries, depths, lists.top(queries, np.full(4, -1), 5), strict=True):
+        scores = vectors @ query
+        assert [(s, i) for s, i, _ in found][:5] == [(int(scores[i]), i) for i in sorted(range(4000), key=lambda i: (-scores[i], i))[:5]]  # noqa: B023
+        out = np.setdiff1d(np.arange(4000), lists.met(query, depth))
+        assert scores[out].max() <= lists.reach(query[None], np.array([depth]))[0, 0]
 
 
 # Extraction
