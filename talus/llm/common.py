@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: As many keys are named to every task that reads documents; more are joined, which deals the documents out.
+FEW = 1_000_000
+
+
+def meeting(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` with or without (``how``: left_semi, left_anti) the rows that ``keys`` (doc_id, text_hash; bounded lineage) name."""
+    named = keys.select(F.col("doc_id").alias("_named_id"), F.col("text_hash").alias("_named_hash"))
+    same = docs["doc_id"].eqNullSafe(named["_named_id"]) & (F.xxhash64(docs["text"]) == named["_named_hash"])
+    return docs.join(F.broadcast(named) if keys.count() <= FEW else named, same, how)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -1,15 +1,21 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies: SimHash links, completed by the exact Jaccard similarity of word shingles.
 
-Two sets whose similarity reaches a threshold share a member among the first few
-of each in any order of all members (prefix filter), so no pair is missed.  Rare
-shingles come first; how common they are is told by a sample, which has no part
-in what is found.  Where the member before is shared too, the pair meets there.
+Fingerprints of texts that are similar to 0.8 differ in ten bits and more, beyond
+what anchors can cover, so SimHash alone misses most such links.  It gives the
+first pairs, through its anchors.  The rest come from a prefix filter: two sets
+whose similarity reaches a threshold share a member among the first few of each in
+any order of all members, so no pair is missed.  Rare shingles come first; how
+common they are is told by a sample, which has no part in what is found.  Where
+the member before is shared too, the pair meets there.
+
+A pair is first held against counts: each set is dealt to buckets by hash, and the
+smaller counts of the two, summed, bound what they share.  What passes is checked
+by whole sets, first one pair a set, then those that still join two groups.
 
 Scale: texts are read as shingle hashes, equal sets are merged, and only prefixes
 are dealt.  A shingle with few sets gives their pairs.  One with many gives, round
 by round, pairs of a few sets outside its largest component with all of other
 components, until one component is left; so large groups of copies cost a round.
-Every pair is checked by whole sets before it links.
 """
 
 from __future__ import annotations
@@ -24,30 +30,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
-from .simhash import SEED, components
+from .common import FEW, cut, meeting
+from .simhash import SEED, components, links, majority, shingle_hashes
 
 #: Word shingles and the least similarity of near copies, unless a contract says otherwise.
 SHINGLE, SIMILAR = 5, 0.8
 #: Sampled texts and shingles held as common; the most sets that are paired at once; sets a round.
-SAMPLE, COMMON, SMALL, REPS = 10_000, 100_000, 32, 8
-#: As many sets are named to every task that reads texts; more are joined, which deals the texts.
-FEW = 1_000_000
+SAMPLE, COMMON, SMALL, REPS = 4_000, 100_000, 32, 8
+#: Shingles a bucket, about, and the fewest buckets.
+CROWD, BUCKETS = 8, 64
 
+ROWS = "doc_id long, text_hash long, node long, n long, fp long, counts binary, prefix array<long>"
 PAIRS = "a long, b long, token long, id long, n long, prev long"
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Hashes of a text's distinct word shingles, sorted; a shorter text is one shingle."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(words) - size + 1)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
-    return np.unique(hashes.view(np.int64))
+    return np.unique(shingle_hashes(text, size).view(np.int64))
+
+
+def counts(members: np.ndarray) -> bytes:
+    """How many members fall into each bucket by their low bits; a power of two buckets, 255 standing for as many or more."""
+    buckets = max(BUCKETS, 1 << max(0, len(members) // CROWD - 1).bit_length())
+    return np.minimum(np.bincount(members & (buckets - 1), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def shared_at_most(a: bytes, b: bytes, n: int) -> int:
+    """The most members that two sets can share, by their counts; ``n``: the size of the smaller set."""
+    left, right = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if (left == 255).any() or (right == 255).any():
+        return n
+    size = min(len(left), len(right))  # buckets by fewer bits are sums of those by more
+    left, right = (x.reshape(-1, size).sum(axis=0, dtype=np.int64) for x in (left, right))
+    return int(np.minimum(left, right).sum())
+
+
+def enough(both: int, n: int, m: int, similar: float) -> bool:
+    """Whether sets of ``n`` and ``m`` members that share ``both`` are similar."""
+    return both >= similar * (n + m - both) - 1e-9
 
 
 def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,29 +79,34 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), size))], ["token"])
 
     every = max(1, texts.count() // SAMPLE)
-    tokens = texts.where(F.expr(f"pmod(text_hash, {every}) = 0")).select("text").mapInArrow(run, "token long")
+    tokens = texts.where(F.expr(f"pmod(text_hash, {every}) = 0")).select("text_hash", "text").dropDuplicates(["text_hash"]).select("text").mapInArrow(run, "token long")
     found = tokens.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).toPandas().sort_values("token")
     return found["token"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
-def _prefixes(size: int, similar: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    tokens, counts = common
+def _read(size: int, similar: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each text: its set's name and size, its fingerprint, counts by bucket, and prefix."""
+    tokens, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, fps, tallies, prefixes = [], [], [], [], []
             for t in batch.column(2):
-                found = shingles(t.as_py(), size)
+                hashes = shingle_hashes(t.as_py(), size)
+                found = np.unique(hashes.view(np.int64))
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                fps.append(majority(hashes))
+                tallies.append(counts(found))
                 order = np.zeros(len(found), np.int64)
                 if len(tokens) and len(found):
                     at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-                    order = np.where(tokens[at] == found, counts[at], 0)
+                    order = np.where(tokens[at] == found, often[at], 0)
                 first = len(found) - math.ceil(len(found) * similar - 1e-9) + 1 if len(found) else 0
                 prefixes.append(found[np.lexsort((found, order))[:first]])
-            arrays = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "node", "n", "prefix"])
+            signed = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+            arrays = [batch.column(0), batch.column(1), next(signed), pa.array(sizes, pa.int64()), next(signed), pa.array(tallies, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "node", "n", "fp", "counts", "prefix"])
 
     return run
 
@@ -149,58 +174,115 @@ def _round(similar: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, named: DataFrame, size: int, similar: float) -> DataFrame:
-    """The pairs whose sets are similar."""
-    pairs = cut(pairs.select("a", "b").distinct())
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "members"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                left, right = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                near.append(both >= similar * (len(left) + len(right) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    wanted = cut(named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    whole = cut(texts.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, members array<long>"))
-    left, right = (whole.select(F.col("node").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long"))
+class _Search:
+    """The links found so far between sets of shingles, and what it takes to check more."""
+
+    def __init__(self, rows: DataFrame, texts: DataFrame, size: int, similar: float) -> None:
+        self.texts, self.size, self.similar = texts, size, similar
+        self.named = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+        self.sets = cut(rows.select("node", "n", "fp", "counts").dropDuplicates(["node"]))
+        self.edges: DataFrame | None = None
+        self.roots = rows.sparkSession.createDataFrame([], "node long, root long")
+
+    def rooted(self, rows: DataFrame, column: str, into: str) -> DataFrame:
+        """``rows`` with the component of a set."""
+        found = self.roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        return rows.join(found, F.col(column) == F.col("_node"), "left").withColumn(into, F.coalesce("_root", column)).drop("_node", "_root")
+
+    def _link(self, edges: DataFrame) -> None:
+        self.edges = edges if self.edges is None else cut(self.edges.unionByName(edges))
+        self.roots = cut(components(self.edges))
+
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that counts leave open and that join two components."""
+        similar = self.similar
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [enough(shared_at_most(x.as_py(), y.as_py(), min(i, j)), i, j, similar) for x, y, i, j in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        apart = self.rooted(self.rooted(pairs.select("a", "b").distinct(), "a", "_ra"), "b", "_rb").where("_ra != _rb")
+        left, right = (self.sets.select(F.col("node").alias(c), F.col("counts").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+        return cut(apart.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "na", "nb").mapInArrow(run, "a long, b long"))
+
+    def _similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar."""
+        size, similar = self.size, self.similar
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "members"])
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    left, right = x.values.to_numpy(), y.values.to_numpy()
+                    near.append(enough(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), similar))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+        wanted = cut(self.named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+        whole = cut(self.texts.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, members array<long>"))
+        left, right = (whole.select(F.col("node").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
+        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long"))
+
+    def add(self, pairs: DataFrame) -> None:
+        """Link the sets of those pairs (a, b) that are similar."""
+        for first in (True, False):
+            pairs = self._possible(pairs)
+            if pairs.isEmpty():
+                return
+            # One pair a set links most groups; the others matter only where they join two.
+            tried = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")) if first else pairs
+            self._link(self._similar(tried))
+            if first:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one row of each group that near copies link: that of the least doc_id, null last.
 
     Near copies are texts whose sets of ``shingle`` words have a Jaccard
-    similarity of ``similar`` or more; texts without words are copies of each
-    other.  Rows that repeat doc_id and text are one row here.  All columns are kept.
+    similarity of ``similar`` or more; texts without words, null ones too, are
+    copies of each other.  Rows that repeat doc_id and text are one row here.  All
+    columns are kept, and an empty table stays empty.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    rows = cut(texts.mapInArrow(_prefixes(shingle, similar, _common(texts, shingle)), "doc_id long, text_hash long, node long, n long, prefix array<long>"))
+    rows = cut(texts.mapInArrow(_read(shingle, similar, _common(texts, shingle)), ROWS))
+    search = _Search(rows, texts, shingle, similar)
+    # Operator 4 first: of the sets with one fingerprint each meets the least; anchors link the fingerprints.
+    of = cut(search.sets.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("sets")))
+    same = search.sets.join(of.where("sets > 1").select("fp", F.col("node").alias("a")), "fp").select("a", F.col("node").alias("b")).where("a != b")
+    close = links(of.select("fp")).join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    search.add(same.unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+    # Then whatever shares a member of its prefix.
     distinct = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    named = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     dealt = distinct.select(F.col("node").alias("id"), "n", "prefix", F.posexplode("prefix").alias("at", "token"))
     dealt = dealt.select("token", "id", "n", F.expr("if(at = 0, id, prefix[greatest(at - 1, 0)])").alias("prev"))
     out = cut(dealt.repartition("token").sortWithinPartitions("token").mapInPandas(_shared(similar), PAIRS))
-    edges = _checked(out.where("a IS NOT NULL"), texts, named, shingle, similar)
-    roots = cut(components(edges))
+    search.add(out.where("a IS NOT NULL").select("a", "b"))
     while True:
         many = out.where("token IS NOT NULL").select("token", "id", "n", "prev")
         if many.isEmpty():
             break
-        placed = many.join(roots, many["id"] == roots["node"], "left").select("token", "id", "n", "prev", F.coalesce("root", "id").alias("comp"))
-        out = cut(placed.groupBy("token").applyInPandas(_round(similar), PAIRS))
-        edges = edges.unionByName(_checked(out.where("a IS NOT NULL"), texts, named, shingle, similar))
-        roots = cut(components(edges))
-    placed = rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+        out = cut(search.rooted(many, "id", "comp").select("token", "id", "n", "prev", "comp").groupBy("token").applyInPandas(_round(similar), PAIRS))
+        search.add(out.where("a IS NOT NULL").select("a", "b"))
+    # Rows are kept or left out by their keys; whole documents are dealt only where they repeat.
+    placed = search.rooted(rows.select("doc_id", "text_hash", "node"), "node", "root").groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("times"))
+    placed = cut(placed)
     known = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    winners = placed.groupBy("root").agg(F.min(known).alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.text_hash").alias("_w_hash"))
-    name = fresh(docs, "_text_hash")
-    hashed = docs.withColumn(name, F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(winners["_w_id"]) & (hashed[name] == winners["_w_hash"])
-    return hashed.join(winners, same, "left_semi").dropDuplicates(["doc_id", name]).select(*docs.columns)
+    winners = placed.groupBy("root").agg(F.min(known).alias("w")).select(F.col("root").alias("_root"), F.col("w.doc_id").alias("w_id"), F.col("w.text_hash").alias("w_hash"))
+    wins = (F.col("root") == F.col("_root")) & F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))
+    judged = cut(placed.join(winners, wins, "left").select("doc_id", "text_hash", F.col("_root").isNull().alias("lost"), "times"))
+    once = meeting(docs, judged.where("lost OR times > 1"), "left_anti")
+    repeated = judged.where("NOT lost AND times > 1")
+    if repeated.isEmpty():
+        return once
+    again = meeting(docs, repeated, "left_semi")
+    # Of rows that repeat, the one whose columns have the least hash.
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    named = again.select(row.alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    least = named.groupBy("doc_id", "text_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return once.unionByName(least.select("_row.*"))

@@ -25,27 +25,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut
 
 THRESHOLD, SHINGLE, SEED, BLOCK, LENGTH = 3, 3, 42, 2048, 31
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit majority of the XXH64 hashes of a text's word shingles; 0 where it has no words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 hashes of a text's word shingles in order, repeats included; a text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(words) - shingle + 1)]
     ends = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 where there are none."""
     ones = np.zeros(64, np.int64)
-    for lo in range(0, n, 1 << 16):
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[lo : min(lo + (1 << 16), n)].tolist(), ends[lo : lo + (1 << 16)].tolist(), strict=False)], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
+    for lo in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[lo : lo + (1 << 16)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit majority of the XXH64 hashes of a text's word shingles; 0 where it has no words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -190,17 +199,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least known doc_id of its group, or null.  An empty table gives no rows.
     """
     return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the least doc_id, null last.
-
-    Rows that repeat doc_id and text are one row here.  All columns are kept.
-    """
-    known = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    winners = groups(docs).groupBy("root").agg(F.min(known).alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.text_hash").alias("_w_hash"))
-    name = fresh(docs, "_text_hash")
-    hashed = docs.withColumn(name, F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(winners["_w_id"]) & (hashed[name] == winners["_w_hash"])
-    kept = hashed.join(winners, same, "left_semi").dropDuplicates(["doc_id", name])
-    return kept.select(*docs.columns)

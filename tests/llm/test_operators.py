@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talus.llm import decontaminate, extract, mixing, nearcopies, secrets, simhash, tokens, topk, toxicity, urls, warc
+from talus.llm import common, decontaminate, extract, mixing, nearcopies, secrets, simhash, tokens, topk, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside, to clash with.
@@ -325,9 +325,7 @@ def test_near_duplicates_of_odd_tables(spark):
     by = {r["doc_id"]: r for r in found}
     assert by[1]["component_id"] == by[2]["component_id"] == by[5]["component_id"] == 1 and by[1]["fingerprint"] == "0" * 16
     assert by[4]["component_id"] == 4 and by[None]["component_id"] is None and by[11]["component_id"] == 10
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 4, 10, 12]
-    assert simhash.near_duplicates(empty(spark)).count() == 0 == simhash.one_of_each(empty(spark)).count()
+    assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
 # Near copies
@@ -361,13 +359,36 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, small):
             near += sets[i] != sets[j]
             a, b = sorted((find(i), find(j)))
             root[b] = a
-    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS).withColumns({c: F.lit("clash") for c in CLASHES})
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[6], rows[6], rows[9], rows[40]]  # rows that repeat
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in CLASHES})
     kept = nearcopies.one_of_each(docs)
     assert near > 50 and kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
     assert nearcopies.one_of_each(empty(spark)).count() == 0
 
 
+def test_copies_of_odd_tables(spark, monkeypatch):
+    docs = odd_docs(spark, "same  TEXT again", "something of its own")
+    for few in (1_000_000, 0):  # keys named to every task, and joined
+        monkeypatch.setattr(common, "FEW", few)
+        monkeypatch.setattr(nearcopies, "FEW", few)
+        kept = nearcopies.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "11", "3", "4", "None"]
+
+
+def test_counts_bound_what_sets_share():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        pool = rng.integers(-(1 << 62), 1 << 62, rng.integers(1, 30_000))
+        a, b = (np.unique(rng.choice(pool, rng.integers(0, len(pool) + 1), replace=False)) for _ in range(2))
+        bound, both = nearcopies.shared_at_most(nearcopies.counts(a), nearcopies.counts(b), min(len(a), len(b))), len(np.intersect1d(a, b))
+        assert both <= bound <= min(len(a), len(b))
+    one = np.arange(1 << 20) << 20  # all in one bucket
+    assert nearcopies.shared_at_most(nearcopies.counts(one), nearcopies.counts(one), len(one)) == len(one)
+
+
 # URL filters
 
 
