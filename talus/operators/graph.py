@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 SMALL = 500_000
 
 
@@ -63,16 +65,6 @@ def _joined(frame: pd.DataFrame) -> pd.DataFrame:
         label = lower
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        context.setCheckpointDir(named)
-    return df.checkpoint()
-
-
 def accumulate(nodes: DataFrame, weight: str = "weight") -> DataFrame:
     """(node, acc): each node's weight with that of all nodes that lead to it.
 
