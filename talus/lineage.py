@@ -41,7 +41,7 @@ def numbered(df: DataFrame, by: list[str | Column], into: str) -> DataFrame:
     for part in sorted(sizes):
         before[part], total = total, total + sizes[part]
     if not before:
-        return dealt.withColumn(into, F.lit(0).cast("long")).drop("_part")
+        return dealt.withColumn(into, F.lit(1).cast("long")).drop("_part")
     offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
     return dealt.withColumn(into, place + offsets[F.col("_part")].cast("long")).drop("_part")
