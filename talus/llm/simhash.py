@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from .common import cut
 
 THRESHOLD, SHINGLE, SEED, BLOCK, LENGTH = 3, 3, 42, 2048, 31
@@ -161,8 +162,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge that isn't its component's least one."""
+    """(node, root) for every node of an edge that isn't its component's least one.
+
+    As few edges as one task can hold, by a count of them, take no rounds of jobs.
+    """
     kept = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    if kept.count() <= graph.SMALL:
+        return graph.components(kept.select(F.col("u").alias("a"), F.col("v").alias("b"))).where("node != root")
     before = None
     while True:
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
