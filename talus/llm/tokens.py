@@ -6,16 +6,18 @@ scores over all ways to cut the bytes that lead to it into vocabulary tokens,
 and is computed once however many pre-tokens share the prefix.  Each terminal
 keeps its token count, so a text's count is a sum of look-ups.
 
-Scale: every task has a trie of its own over the texts that it reads; nothing is
-shuffled or gathered.  A trie that outgrows ``MOST_NODES`` is started anew, which
-costs time but changes no count.
+Scale: the vocabulary is read once and sent to every task.  Every task has a trie
+of its own over the texts that it reads; nothing is shuffled or gathered.  A trie
+that would outgrow ``MOST_NODES`` is started anew, which costs time but changes no
+count; a pre-token of over ``LONG`` bytes is cut by the same sums without nodes,
+of which only as many are kept as the longest token has bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 #: Where the vocabulary's file is by default, and the pattern that its publishers split texts by.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST_NODES = 2_000_000
+MOST_NODES, LONG = 2_000_000, 4096
 
 
 def scores(path: str = VOCABULARY) -> dict[bytes, float]:
@@ -62,27 +64,36 @@ class Trie:
         """How many tokens the best cut of a pre-token has; of equally good cuts, the fewest."""
         known = self.terminal.get(pretoken)
         if known is None:
-            known = self.terminal[pretoken] = self._insert(pretoken.encode(errors="replace"))
+            data = pretoken.encode(errors="replace")
+            if len(data) > LONG:
+                return self._rolled(data)
+            found = self._insert(data)
+            known = self.terminal[pretoken] = found
         return known
 
+    def _ending(self, data: bytes, end: int, before: Callable[[int], tuple[float, int]]) -> tuple[float, int]:
+        """Best score and fewest tokens of the bytes up to ``end``, from those of the beginnings that a token may follow."""
+        best, count = -math.inf, 0
+        for k in range(1, min(end, self.longest) + 1):
+            piece = data[end - k : end]
+            if piece not in self.endings:
+                break
+            score = self.unigrams.get(piece)
+            if score is not None:
+                found, n = before(end - k)
+                found, n = found + score, n + 1
+                if found > best or found == best and n < count:
+                    best, count = found, n
+        return best, count
+
     def _insert(self, data: bytes) -> int:
-        if len(self.best) > MOST_NODES:
+        if len(self.best) + len(data) > MOST_NODES:
             self.clear()
         path, node = [0], 0
         for i, byte in enumerate(data):
             child = self.children.get((node, byte))
             if child is None:
-                best, count = -math.inf, 0
-                for k in range(1, min(i + 1, self.longest) + 1):
-                    piece = data[i + 1 - k : i + 1]
-                    if piece not in self.endings:
-                        break
-                    score = self.unigrams.get(piece)
-                    if score is not None:
-                        before = path[i + 1 - k]
-                        found, n = self.best[before] + score, self.count[before] + 1
-                        if found > best or found == best and n < count:
-                            best, count = found, n
+                best, count = self._ending(data, i + 1, lambda at: (self.best[path[at]], self.count[path[at]]))
                 child = self.children[node, byte] = len(self.best)
                 self.best.append(best)
                 self.count.append(count)
@@ -90,26 +101,37 @@ class Trie:
             path.append(node)
         return self.count[node]
 
+    def _rolled(self, data: bytes) -> int:
+        """The count of a long pre-token, whose prefixes are hardly shared."""
+        kept = [(0.0, 0)] * (self.longest + 1)
+        for end in range(1, len(data) + 1):
+            kept[end % len(kept)] = self._ending(data, end, lambda at: kept[at % len(kept)])
+        return kept[len(data) % len(kept)][1]
+
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_pretokens, n_tokens for every row of ``docs`` (doc_id, text; other columns play no part).
 
-    ``vocabulary`` is the path of a rank file, the same on every machine.  Null
-    and empty texts have no tokens.  Repeated rows stay repeated; a null doc_id
-    is kept.
+    ``vocabulary`` is the path of a rank file, which the driver reads.  Null and
+    empty texts have no tokens.  Repeated rows stay repeated; a null doc_id is
+    kept; an empty table gives no rows.
     """
+    unigrams = docs.sparkSession.sparkContext.broadcast(scores(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, split = None, regex.compile(PATTERN)
         for batch in batches:
-            trie = trie or Trie(scores(vocabulary))
+            trie = trie or Trie(unigrams.value)
             whole, n_tokens = [], []
             for text in batch.column(1):
                 found = split.findall(text.as_py() or "")
                 whole.append(len(found))
-                known = trie.terminal
-                n_tokens.append(sum(known[p] if p in known else trie.tokens(p) for p in found))
-                if len(known) > MOST_NODES:
+                n = 0
+                for p in found:
+                    known = trie.terminal.get(p)
+                    n += trie.tokens(p) if known is None else known
+                n_tokens.append(n)
+                if len(trie.terminal) > MOST_NODES:
                     trie.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
