@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-#: Most labelled rows that fitting reads, and most entries of the learned lexicon.
-SAMPLE, LEXICON = 12_000, 1_000
+#: Most labelled rows that fitting reads.
+SAMPLE = 12_000
 MIN_SUPPORT, MIN_LOG_ODDS, STEMS = 4, 2.5, (4, 5, 6)
 FOLDS = 5
 
@@ -179,20 +179,23 @@ def _learn_lexicon(rows: DataFrame) -> dict[str, float]:
         return {}
     counted = entries.groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= MIN_SUPPORT)
     odds = F.log((F.col("t") + 0.5) / float(n_toxic) / ((F.col("n") - F.col("t") + 0.5) / float(n_all - n_toxic)))
-    best = counted.select("entry", "t", odds.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS)
-    return {r["entry"]: float(r["odds"]) for r in best.orderBy(F.desc(F.col("odds") * F.log("t")), "entry").limit(LEXICON).collect()}
+    best = counted.select("entry", odds.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS)
+    return {r["entry"]: float(r["odds"]) for r in best.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` rows of ``labels`` (doc_id, toxic) that are not held out.
 
     Labels that are neither 0 nor 1 and rows without a document are passed over;
-    of a doc_id's several labels the largest counts.  Without usable labels the
+    of a doc_id's several labels the largest counts, and of its several texts one.
+    The lexicon takes every entry that the sample supports.  Without usable labels the
     model falls back on the fixed insults.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text a label, that of least hash, so that a doc_id that repeats doesn't outgrow the sample.
+    known = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(20))
     known = known.withColumn("part", F.when(part < 9, 0).when(part < 16, 1).otherwise(2))
     lexicon = _learn_lexicon(known.where("part = 0").select("text", "toxic"))
