@@ -7,32 +7,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, numbered, shared_dir
+
+__all__ = ["FEW", "cut", "discard", "fresh", "lowered", "meeting", "numbered", "scratch", "shared_dir", "table", "text_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as named by ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests on one machine) a folder under the
-    warehouse directory is used, which Spark itself requires to be shared.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 #: As many keys are named to every task that reads documents; more are joined, which deals the documents out.
 FEW = 1_000_000
 
@@ -49,6 +33,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a path below the shared folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null read as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -6,7 +6,9 @@ n complete epochs and then, in key order, documents up to the rest of its budget
 
 Scale: the documents are read once and leave as a few numbers each.  No source is
 sorted as a whole: sums by key bucket find the one bucket in which a source's
-budget ends, and only that bucket's rows are sorted and prefix-summed.
+budget ends, and only that bucket's rows are sorted and prefix-summed, rows of one
+doc_id and size as one.  Sources may be as many as sites: they are numbered by
+range, and the level that their targets share is found by sums over them all.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import FEW, cut, numbered
 
 BUCKETS, MOST, WEIGHTS = 4096, 3, (1, 2, 3)
-FEW, SALTS = 10_000, 64
+SALTS = 64
 
 
 def size_of(text: str = "text") -> Column:
@@ -33,23 +35,25 @@ def targets(sizes: DataFrame, most: int = MOST, weights: tuple[int, ...] = WEIGH
 
     Sources weigh ``weights`` in turn, by code point and null last, and share the
     sum of all sizes.  A target above ``most`` times its source's size stops there
-    and the others share the excess by weight.  With sources in order of the
-    level at which each stops, those that stop come first, so running sums give
-    the common level of the rest.
+    and the others share the excess by weight: the level, a target's share of its
+    weight, rises until no more sources stop below it.
     """
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(ordered) - 1) % len(weights)
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long"))
-    weighed = weighed.withColumn("stop", most * F.col("source_size"))
-    by_level = Window.orderBy(F.col("stop") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    rest = F.sum("source_size").over(everything) - F.coalesce(F.sum("stop").over(before), F.lit(0))
-    level = rest.cast("double") / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).cast("double")
-    leveled = weighed.withColumn("level", level).withColumn("nth", F.row_number().over(by_level))
-    reached = F.min(F.when(F.col("stop") / F.col("weight") >= F.col("level"), F.struct("nth", "level"))).over(everything)["level"]
-    share = F.least(F.col("stop").cast("double"), F.coalesce(reached * F.col("weight"), F.col("stop").cast("double")))
-    return leveled.select("source", "source_size", share.alias("target"))
+    turn = (F.col("_nth") - 1) % len(weights)
+    weighed = numbered(sizes, [F.col("source").asc_nulls_last()], "_nth")
+    weighed = weighed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long"))
+    weighed = cut(weighed.withColumn("stop", most * F.col("source_size")))
+    stops_at = F.col("stop").cast("double") / F.col("weight").cast("double")
+    level, stopped = -1.0, -1
+    while True:
+        below = stops_at < level
+        total, free, n = weighed.agg(
+            F.coalesce(F.sum("source_size") - F.coalesce(F.sum(F.when(below, F.col("stop"))), F.lit(0)), F.lit(0)), F.coalesce(F.sum(F.when(~below, F.col("weight"))), F.lit(0)), F.count_if(below)
+        ).first()
+        if n == stopped or not free:
+            break
+        level, stopped = float(total) / float(free), n
+    share = F.least(F.col("stop").cast("double"), F.lit(level) * F.col("weight")) if free else F.col("stop").cast("double")
+    return weighed.select("source", "source_size", share.alias("target"))
 
 
 def _by_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -107,9 +111,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, most: int = MOST, wei
         .select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", F.coalesce("last.bucket", F.lit(BUCKETS)).alias("ends"), F.coalesce("last.offset", F.lit(0)).alias("offset"))
     )
     planned = _by_source(rows, cut(plan))
+    result = ["doc_id", "size", "source_size", "target", "taken"]
     settled = planned.where("bucket != ends").withColumn("taken", F.expr("size * (epochs + if(bucket < ends, 1, 0))"))
+    # Rows of one key and size are taken one by one, whichever: they are sorted as one, with their count.
+    ending = planned.where("bucket = ends").groupBy("source", "key", "doc_id", "size", "source_size", "target", "epochs", "rest", "offset").agg(F.count("*").alias("rows"))
     in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("offset") + F.sum("size").over(in_order) - F.col("size") / 2
-    sorted_out = planned.where("bucket = ends").withColumn("taken", F.col("size") * (F.col("epochs") + (upto <= F.col("rest")).cast("int")))
-    out = settled.unionByName(sorted_out)
-    return out.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    before = F.col("offset") + F.sum(F.col("size") * F.col("rows")).over(in_order) - F.col("size") * F.col("rows")
+    each = ending.withColumn("before", before).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    upto = F.col("before") + F.col("size") * F.col("nth") - F.col("size") / 2
+    sorted_out = each.withColumn("taken", F.col("size") * (F.col("epochs") + (upto <= F.col("rest")).cast("int")))
+    out = settled.select(*result).unionByName(sorted_out.select(*result))
+    return out.withColumn("taken", F.col("taken").cast("long"))
