@@ -10,7 +10,7 @@ every run of that many words is a fingerprint.
 
 Scale: the corpus is read once.  A generated stage walks the positions of each
 document and tests its hash against a bit map of the item fingerprints (a
-constant of at most 2^18 bits), then whether it is a window's least; nearly all
+constant of at most 2^21 bits), then whether it is a window's least; nearly all
 positions end there and no row is made of them.  What passes is joined on the
 hash (Catalyst broadcasts the item side only below its size threshold) and
 carries its own neighbouring words, so texts are never shuffled.
@@ -30,7 +30,7 @@ from .common import lowered
 
 SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 GRAM = 4
-MAX_MAP_BITS = 18
+MAX_MAP_BITS = 21
 
 
 @dataclass(frozen=True)
@@ -158,12 +158,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, gram: int =
     """Which words of each document lie in a passage of an item.
 
     docs: doc_id, text.  items: item_id, text.  Other columns play no part.
-    Result, a row per distinct (doc_id, text): doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated, text_hash (xxhash64 of the text, to join by).
+    Result, a row per input row: doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated, text_hash (xxhash64 of the text, to join by).
 
     Null and empty texts have no words; items without words match nothing.  Rows
-    that repeat doc_id and text give one row; a null doc_id is kept as a key of
-    its own.  Items that share an id count once; a null item_id marks words but
+    that repeat are looked up as one and stay repeated; a null doc_id is kept.  Items that share an id count once; a null item_id marks words but
     is neither counted nor listed.  Empty tables give empty or clean results.
     """
     parsed = items.select(F.col("item_id").cast("string").alias("item_id"), words_of().alias("words")).where("size(words) > 0")
@@ -187,16 +186,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, gram: int =
             "doc_id",
             "text_hash",
             "n_words",
+            "level",
             F.when(hit, F.struct((F.col("at") - F.col("before")).alias("s"), (F.col("at") + F.size("gram") + F.col("after")).alias("e"))).alias("span"),
             F.when(hit, F.col("ids")).alias("ids"),
         )
         .groupBy("doc_id", "text_hash")
-        .agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.flatten(F.collect_set("ids")).alias("ids"))
+        .agg(F.max("n_words").cast("long").alias("n_words"), F.count_if(F.col("level") == 0).alias("times"), F.array_sort(F.collect_set("span")).alias("spans"), F.flatten(F.collect_set("ids")).alias("ids"))
     )
     union = (
         "aggregate(spans, named_struct('end', 0, 'n', 0L), (a, x) -> named_struct('end', greatest(a.end, x.e), "
         "'n', a.n + cast(greatest(x.e - greatest(a.end, x.s), 0) as bigint)), a -> a.n)"
     )
     ids = F.array_sort(F.array_distinct("ids"))
-    out = per_doc.select("doc_id", "n_words", F.expr(union).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "text_hash")
+    out = per_doc.select("doc_id", "n_words", F.expr(union).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "text_hash", "times")
+    out = out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "text_hash")

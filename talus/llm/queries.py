@@ -54,22 +54,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op3_benchmark_decontamination",
     f"""
-WITH d AS (SELECT DISTINCT doc_id, text, {_WORDS} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g
        FROM (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0)),
-dw AS (SELECT doc_id, text, n, unnest(range(1, len(w) - n + 2)) AS p,
+dw AS (SELECT row_id, n, unnest(range(1, len(w) - n + 2)) AS p,
               unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g
        FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
-h AS (SELECT doc_id, text, p, dw.n, item_id FROM dw JOIN bw USING (n, g)),
-c AS (SELECT doc_id, text, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, text, unnest(range(p, p + n)) AS q FROM h) GROUP BY ALL),
-i AS (SELECT doc_id, text, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
-      FROM (SELECT DISTINCT doc_id, text, cast(item_id AS varchar) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY ALL)
+h AS (SELECT row_id, p, dw.n, item_id FROM dw JOIN bw USING (n, g)),
+c AS (SELECT row_id, count(DISTINCT q) AS n_hit FROM (SELECT row_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY ALL),
+i AS (SELECT row_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+      FROM (SELECT DISTINCT row_id, cast(item_id AS varchar) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY ALL)
 SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS bigint) AS n_hit,
        cast(coalesce(n_items, 0) AS bigint) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d
-LEFT JOIN c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.text IS NOT DISTINCT FROM c.text
-LEFT JOIN i ON d.doc_id IS NOT DISTINCT FROM i.doc_id AND d.text IS NOT DISTINCT FROM i.text
+LEFT JOIN c USING (row_id) LEFT JOIN i USING (row_id)
 """,
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
