@@ -29,8 +29,9 @@ def meeting(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, with its file system's scheme."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")  # type: ignore[union-attr]
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -7,9 +7,11 @@ the ZIP64 records where there are any, locates the members' data, reads the
 index, and fetches records by their ranges; nothing is extracted.
 
 Scale: packages are as many as tasks.  Their list, not their contents, is a
-table; a package that a lost or repeated task left behind is not in it.  Records
-are dealt out anew for reading, by package and region.  Payloads go through one
-shuffle, on their digest, where Spark may split the hottest.
+table; a package that a lost or repeated task left behind is not in it.  Digests
+alone are shuffled to find the payloads that several pages have; those few are
+named to the tasks that write, so that no payload is shuffled (beyond ``FEW`` of
+them, payloads are dealt by digest).  For reading, places in packages are dealt
+out anew, by package and region, to as many tasks as the bytes ask for.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import struct
 import urllib.parse
 import uuid
@@ -30,11 +33,11 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import FEW, cut, discard, scratch
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-#: Records of one region are read by one task.
-REGION = 16 << 20
+#: Records of one region are read by one task: at most so many bytes, and fewer while there are cores for more regions.
+REGION, TASKS = 16 << 20, 4
 DATE = "2024-01-01T00:00:00Z"
 
 # Signatures and the mark of a field whose value is in the ZIP64 extra.
@@ -44,6 +47,8 @@ FULL = 0xFFFFFFFF
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     """The file system that a path or URI names, and the path on it."""
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
@@ -51,18 +56,24 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """The id of a page's record; rows that repeat have one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, revisit: bool, refers_to: int | None) -> bytes:
     """One WARC record; a revisit has the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head if revisit else head + payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"),
+        ("WARC-Record-ID", record_id(page_id, digest)),
         ("WARC-Target-URI", None if url is None else urllib.parse.quote(url, safe=";/?:@&=+$,#%!~*'()[]")),
         ("WARC-Date", DATE),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
-        ("WARC-Refers-To", f"<urn:page:{refers_to}>" if revisit else None),
+        ("WARC-Refers-To", record_id(refers_to, digest) if revisit else None),
+        ("WARC-Refers-To-Page-ID", str(refers_to) if revisit else None),
         ("WARC-Page-ID", None if page_id is None else str(page_id)),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -217,8 +228,10 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if kind == "response" and base32(hashlib.sha1(payload).hexdigest()) != digest:
                         raise ValueError(f"a payload in {path} at {at} is not what its digest says")
                     size = int(http.decode().rsplit("Content-Length: ", 1)[1].split("\r\n")[0])
-                    page, refers = fields.get("warc-page-id"), fields.get("warc-refers-to", "")
-                    out.append((None if page is None else int(page), size, digest, kind, int(refers[10:-1]) if kind == "revisit" else None))
+                    page, refers = fields.get("warc-page-id"), fields.get("warc-refers-to-page-id")
+                    if refers is not None and fields["warc-refers-to"] != record_id(int(refers), digest):
+                        raise ValueError(f"a revisit in {path} at {at} refers to another record than its page's")
+                    out.append((None if page is None else int(page), size, digest, kind, None if refers is None else int(refers)))
         types = {"page_id": "Int64", "payload_bytes": "int64", "payload_digest": "object", "record_type": "object", "refers_to": "Int64"}
         yield pd.DataFrame({name: pd.Series([row[i] for row in out], dtype=kind) for i, (name, kind) in enumerate(types.items())})
 
@@ -232,20 +245,37 @@ def write_packages(pages: DataFrame, base: str, least: int = 0) -> DataFrame:
     html: Column = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html"))
-    # Digests that only one page has keep their pages where they are merged first; no payload is in this part.
-    first = rows.groupBy("sha1").agg(F.max("page_id").alias("first")).withColumnRenamed("sha1", "of")
-    response = (F.col("size") < least) | F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
-    typed = rows.join(first, F.col("sha1") == F.col("of")).withColumn("response", response)
+    # Only digests that several rows have matter; no payload is in this part.
+    first = rows.where(F.col("size") >= least).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    first = cut(first.select(F.col("sha1").alias("of"), "first"))
+    first = F.broadcast(first) if first.count() <= FEW else first
+    typed = rows.join(first, F.col("sha1") == F.col("of"), "left")
+    typed = typed.withColumn("response", F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")))
     # Ids travel as text: pandas would make floats of whole numbers beside nulls.
-    named = [F.col(c).cast("string").alias(c) for c in ("page_id", "first")]
+    named = [F.when(F.col("response"), None).otherwise(F.col("first")).cast("string").alias("first"), F.col("page_id").cast("string").alias("page_id")]
     kept = typed.select("url", F.when(F.col("response"), F.col("html")).alias("html"), "size", "sha1", "response", *named)
     return cut(kept.mapInPandas(_write(base), "path string, n long"))
 
 
+def _sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        found = []
+        for path in frame["path"]:
+            store, place = open_store(path)
+            found.append(store.get_file_info(place).size)
+        yield pd.DataFrame({"path": frame["path"], "bytes": found})
+
+
 def read_packages(packages: DataFrame) -> DataFrame:
     """The records of ``packages`` (path): page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    found = packages.select("path").repartition("path").mapInPandas(_index, "path string, at long, length long")
-    dealt = found.withColumn("region", F.floor(F.col("at") / REGION)).repartition("path", "region").sortWithinPartitions("path", "at")
+    sized = cut(packages.select("path").mapInPandas(_sizes, "path string, bytes long"))
+    n, total = sized.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cores = packages.sparkSession.sparkContext.defaultParallelism
+    region = max(1, min(REGION, total // (TASKS * cores)))
+    # Counts of partitions are given, as rows of a few bytes stand for whole records.
+    found = sized.repartition(max(1, min(n, TASKS * cores)), "path").mapInPandas(_index, "path string, at long, length long")
+    dealt = found.withColumn("region", F.floor(F.col("at") / region))
+    dealt = dealt.repartition(max(1, 2 * math.ceil(total / region)), "path", "region").sortWithinPartitions("path", "at")
     return dealt.select("path", "at", "length").mapInPandas(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -258,6 +288,12 @@ def archive(pages: DataFrame, base: str | None = None, least: int = 0) -> DataFr
     Null html is an empty payload.  Rows that repeat the largest page_id of a
     payload are all responses.  A null page_id is kept and never the largest;
     payloads that only such rows have are responses.  An empty table writes
-    nothing.
+    nothing.  Packages stay below ``base``; without one, they are in the shared
+    folder until they have been read.
     """
-    return read_packages(write_packages(pages, base or scratch(pages.sparkSession, "warc"), least))
+    if base is not None:
+        return read_packages(write_packages(pages, base, least))
+    base = scratch(pages.sparkSession, "warc")
+    found = cut(read_packages(write_packages(pages, base, least)))
+    discard(pages.sparkSession, base)
+    return found

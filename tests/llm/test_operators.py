@@ -590,6 +590,36 @@ def test_archives_there_and_back(spark, tmp_path):
     assert warc.archive(empty(spark, "page_id long, url string, html string"), f"file://{tmp_path}/x").count() == 0
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_archives_of_rows_that_repeat(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)  # digests named to every task, and dealt
+    rows = [(9, "u", "same")] * 3 + [(i, "u", "same") for i in range(8)] + [(4, "v", "own"), (None, "u", "none")] + [(None, "u", "none")] * 2 + [(i, None, None) for i in range(20, 60)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"of": F.lit(1), "response": F.lit(2), "n": F.lit(3)}).repartition(5)
+    found = warc.archive(table).collect()  # packages in the shared folder, which are gone afterwards
+    assert len(found) == len(rows)
+    kinds = [(r["page_id"], r["record_type"], r["refers_to"]) for r in found]
+    assert kinds.count((9, "response", None)) == 3 and sorted(x for x in kinds if x[2] == 9) == [(i, "revisit", 9) for i in range(8)]
+    assert kinds.count((None, "response", None)) == 3 and kinds.count((4, "response", None)) == 1 and kinds.count((59, "response", None)) == 1
+    assert len([x for x in kinds if x[2] == 59]) == 39
+
+
+def test_records_are_read_in_parallel(spark, tmp_path):
+    noise = [(i, "u", hashlib.sha512(str(i).encode()).hexdigest() * 40) for i in range(400)]
+    packages = warc.write_packages(spark.createDataFrame(noise, "page_id long, url string, html string").coalesce(2), f"file://{tmp_path}/w")
+    read = warc.read_packages(packages)
+    busy = read.groupBy(F.spark_partition_id()).count().count()
+    assert packages.count() == 2 and busy > 4 and read.count() == 400
+
+
+def test_revisits_refer_to_records(spark, tmp_path):
+    table = spark.createDataFrame([(1, "u", "same"), (2, "u", "same")], "page_id long, url string, html string").coalesce(1)
+    warc.write_packages(table, f"file://{tmp_path}/w").count()
+    data = zipfile.ZipFile(next((tmp_path / "w").glob("*.wacz"))).read(warc.ARCHIVE)
+    text = gzip.decompress(data).decode()
+    ids, refers = re.findall(r"WARC-Record-ID: (\S+)", text), re.findall(r"WARC-Refers-To: (\S+)", text)
+    assert len(ids) == 2 and len(refers) == 1 and refers[0] in ids
+
+
 def test_warc_keeps_large_ids_beside_nulls(spark, tmp_path):
     big = (1 << 60) + 1
     table = spark.createDataFrame([(big, "u", "same"), (big - 2, "u", "same"), (None, "u", "same"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
