@@ -50,6 +50,7 @@ BREAK = re.compile(rb"[^A-Za-z0-9+/_=\s-]|[A-Za-z0-9+/_=-][ \t]+[A-Za-z0-9+/_=-]
 STANDARD = str.maketrans("-_", "+/")
 WIDE_LITTLE, WIDE_BIG = (re.compile(rb"(?:%b){12,}" % pair, re.DOTALL) for pair in (rb"[^\0]\0", rb"\0[^\0]"))
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|x[\x01\x5e\x9c\xda]")
+ROW = re.compile(rb"[\t\n\r\x20-\x7e]{12}|(?:[\t\n\r\x20-\x7e]\0){12}|(?:\0[\t\n\r\x20-\x7e]){12}")
 URL_RUN = re.compile(r"[^\s\"'<>]+")
 #: The fewest characters that a secret, or what encodes one, has.
 LEAST = 12
@@ -244,10 +245,8 @@ def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _base64(run: str) -> bytes | None:
     """The bytes that a run encodes, if it may encode any."""
-    if run.isalpha() and (run.islower() or run[1:].islower()):
-        return None  # a plain word: decodes to no text in any case but by accident
     body = run.rstrip("=")
-    if len(run) < 12 or len(body) % 4 == 1:
+    if len(run) < LEAST or len(body) % 4 == 1:
         return None
     try:
         return base64.b64decode((body + "=" * (-len(body) % 4)).translate(STANDARD), validate=True)
@@ -255,6 +254,28 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
+def _decodings(run: str) -> Iterator[tuple[int, bytes]]:
+    """What a run may encode from any of its places, as other characters (those of a path) may lead up to it.
+
+    Of the bytes of each of the four alignments: all, if any row of them is as
+    long as the shortest secret in characters of an encoding, and what unpacks.
+    With each, the place in the run from which it is decoded.
+    """
+    body = run.rstrip("=")
+    for offset in range(min(4, len(body) - LEAST + 1)):
+        part = body[offset : len(body) - ((len(body) - offset) % 4 == 1)]
+        if (data := _base64(part)) is None:
+            continue
+        if _unpacks(data[: 1 << 12]):
+            yield offset, data  # with what its streams are followed by
+            continue
+        if ROW.search(data):
+            yield offset, data
+        for m in MAGIC.finditer(data):
+            if _unpacks(data[m.start() : m.start() + (1 << 12)]):
+                yield offset + m.start() // 3 * 4, data[m.start() :]
+
+
 def _layers(layer: Layer) -> Iterator[Layer]:
     text = layer[0]
     if "%" in text and URL_ESCAPES.search(text):
@@ -273,10 +294,12 @@ def _layers(layer: Layer) -> Iterator[Layer]:
                 if _unpacker(data) is not None:
                     whole.add(start)
     for m in BASE64_RUN.finditer(text):
-        if m.start() in whole or (data := _base64(m[0])) is None:
+        if m.start() in whole:
             continue  # its first line alone would unpack to a part of it
-        for inner in _readable(data):
-            yield inner, None, *_place(layer, m.start(), m.end())
+        for at, data in _decodings(m[0]):
+            place = _place(layer, m.start() + at, m.end())
+            for inner in _readable(data):
+                yield inner, None, *place
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -775,6 +775,39 @@ def test_decoded_layers_need_not_be_plain_text():
     assert secrets.spans(f"x {base64.b64encode(noise * 9).decode()} y") == ([], [])
 
 
+def test_random_nests_are_unwrapped():
+    rng = random.Random(11)
+    pack = lambda data: base64.b64encode(data).decode()
+    noise = lambda n: "".join(rng.choice("klmnoprstuvw ") for _ in range(n))
+    wraps = [
+        lambda t: pack(t.encode()),
+        lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+        lambda t: "https://host.example/" + rng.choice(["", "v1/", "org/x/", "abc/"]) + pack(t.encode()),
+        lambda t: base64.encodebytes(t.encode()).decode(),
+        lambda t: pack(t.encode("utf-16")),
+        lambda t: pack(b"\0\xff\x07" + t.encode() + b"\0\x1b"),
+        *(lambda t, f=f: pack(f(t.encode())) for f in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)),
+        lambda t: pack(gzip.compress(noise(40).encode()) + gzip.compress(t.encode())),
+        lambda t: urllib.parse.quote(t, safe=""),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        lambda t: "".join(f"&#{ord(c)};" if c in "=:" else c for c in t),
+        lambda t: "%" + "%".join(f"{b:02x}" for b in gzip.compress(t.encode())),
+    ]
+    plants = ["password=hunter2secret", "token: 'abcDEF123456'", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2]
+    for _ in range(400):
+        text = layer = rng.choice(plants)
+        for _ in range(rng.randint(1, 5)):
+            layer = rng.choice(wraps)(f"{noise(rng.randrange(30))} {layer} {noise(rng.randrange(30))}")
+        base, found = secrets.spans(f"é {layer} end")
+        assert found and text not in secrets.masked(f"é {layer} end"), layer[:200]
+    deep = "password=hunter2secret".encode()
+    for _ in range(30):
+        deep = gzip.compress(deep)
+    assert secrets.spans(pack(deep))[1]
+    letters = next(t for i in itertools.count() if (t := base64.b64encode(b"i" * 3 + b"%d" % i)).decode().isalpha())
+    assert secrets.spans(f"{letters.decode()} word") == ([], [])
+
+
 def test_long_runs_take_linear_time():
     long = "x%" * 200_000 + " " + "y" * 400_000 + " &# \\\\u " + "Ab" * 200_000 + "==== 50% &#65;"
     assert secrets.spans(long) == ([], [])
