@@ -35,8 +35,10 @@ from .simhash import SEED, components, links, majority, shingle_hashes
 
 #: Word shingles and the least similarity of near copies, unless a contract says otherwise.
 SHINGLE, SIMILAR = 5, 0.8
-#: Sampled texts and shingles held as common; the most sets that are paired at once; sets a round.
-SAMPLE, COMMON, SMALL, REPS = 4_000, 100_000, 32, 8
+#: Sampled texts and shingles held as common; the most sets that are paired at once; sets a round, and pairs that a round gives at most (of one set, all).
+SAMPLE, COMMON, SMALL, REPS, MOST = 4_000, 100_000, 32, 32, 1_000_000
+#: More pairs than these are checked in two turns.
+TRIED = 1_000
 #: Shingles a bucket, about, and the fewest buckets.
 CROWD, BUCKETS = 8, 64
 
@@ -164,7 +166,8 @@ def _round(similar: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         names, label, sizes = np.unique(frame["comp"].to_numpy(), return_inverse=True, return_counts=True)
         others = np.flatnonzero(label != sizes.argmax())
-        chosen = others[np.unique(np.linspace(0, len(others) - 1, min(REPS, len(others))).astype(int))] if len(others) else others
+        reps = max(1, min(REPS, len(others), MOST // len(frame)))
+        chosen = others[np.unique(np.linspace(0, len(others) - 1, reps).astype(int))] if len(others) else others
         left, right = np.repeat(chosen, len(frame)), np.tile(np.arange(len(frame)), len(chosen))
         apart = label[left] != label[right]
         pairs = _pairs(frame, left[apart], right[apart], similar)
@@ -177,22 +180,17 @@ def _round(similar: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 class _Search:
     """The links found so far between sets of shingles, and what it takes to check more."""
 
-    def __init__(self, rows: DataFrame, texts: DataFrame, size: int, similar: float) -> None:
-        self.texts, self.size, self.similar = texts, size, similar
-        self.named = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-        self.sets = cut(rows.select("node", "n", "fp", "counts").dropDuplicates(["node"]))
-        self.edges: DataFrame | None = None
-        self.roots = rows.sparkSession.createDataFrame([], "node long, root long")
+    def __init__(self, sets: DataFrame, texts: DataFrame, size: int, similar: float) -> None:
+        self.sets, self.texts, self.size, self.similar = sets, texts, size, similar
+        self.edges = self.roots = None
 
     def rooted(self, rows: DataFrame, column: str, into: str) -> DataFrame:
         """``rows`` with the component of a set."""
+        if self.roots is None:
+            return rows.withColumn(into, F.col(column))
         found = self.roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
         return rows.join(found, F.col(column) == F.col("_node"), "left").withColumn(into, F.coalesce("_root", column)).drop("_node", "_root")
 
-    def _link(self, edges: DataFrame) -> None:
-        self.edges = edges if self.edges is None else cut(self.edges.unionByName(edges))
-        self.roots = cut(components(self.edges))
-
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs that counts leave open and that join two components."""
         similar = self.similar
@@ -206,8 +204,8 @@ class _Search:
         left, right = (self.sets.select(F.col("node").alias(c), F.col("counts").alias(f"c{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
         return cut(apart.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "na", "nb").mapInArrow(run, "a long, b long"))
 
-    def _similar(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar."""
+    def _similar(self, pairs: DataFrame, n: int) -> DataFrame:
+        """The pairs, ``n`` of them, whose whole sets are similar."""
         size, similar = self.size, self.similar
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,23 +220,30 @@ class _Search:
                     near.append(enough(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), similar))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-        wanted = cut(self.named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
-        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = self.sets.select("node", "text_hash").join(named, "node")
+        wanted = F.broadcast(wanted) if 2 * n <= FEW else wanted
         whole = cut(self.texts.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, members array<long>"))
         left, right = (whole.select(F.col("node").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
         return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long"))
 
+    def _link(self, pairs: DataFrame, n: int) -> None:
+        edges = self._similar(pairs, n)
+        self.edges = edges if self.edges is None else self.edges.unionByName(edges)
+        self.roots = cut(components(self.edges))
+
     def add(self, pairs: DataFrame) -> None:
         """Link the sets of those pairs (a, b) that are similar."""
-        for first in (True, False):
-            pairs = self._possible(pairs)
-            if pairs.isEmpty():
-                return
+        pairs = self._possible(pairs)
+        n = pairs.count()
+        if n > TRIED:
             # One pair a set links most groups; the others matter only where they join two.
-            tried = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")) if first else pairs
-            self._link(self._similar(tried))
-            if first:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            tried = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+            self._link(tried, n)
+            pairs = self._possible(pairs.join(tried, ["a", "b"], "left_anti"))
+            n = pairs.count()
+        if n:
+            self._link(pairs, n)
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
@@ -251,18 +256,18 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILA
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     rows = cut(texts.mapInArrow(_read(shingle, similar, _common(texts, shingle)), ROWS))
-    search = _Search(rows, texts, shingle, similar)
-    # Operator 4 first: of the sets with one fingerprint each meets the least; anchors link the fingerprints.
-    of = cut(search.sets.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("sets")))
-    same = search.sets.join(of.where("sets > 1").select("fp", F.col("node").alias("a")), "fp").select("a", F.col("node").alias("b")).where("a != b")
+    sets = cut(rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *(F.first(c).alias(c) for c in ("n", "fp", "counts", "prefix"))))
+    search = _Search(sets, texts, shingle, similar)
+    # Operator 4: of the sets with one fingerprint each meets the least, and anchors link the fingerprints.
+    of = sets.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("sets"))
+    same = sets.select("fp", "node").join(of.where("sets > 1").select("fp", F.col("node").alias("a")), "fp").select("a", F.col("node").alias("b")).where("a != b")
     close = links(of.select("fp")).join(of.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-    search.add(same.unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
-    # Then whatever shares a member of its prefix.
-    distinct = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    dealt = distinct.select(F.col("node").alias("id"), "n", "prefix", F.posexplode("prefix").alias("at", "token"))
+    close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # Whatever else shares a member of its prefix.
+    dealt = sets.select(F.col("node").alias("id"), "n", "prefix", F.posexplode("prefix").alias("at", "token"))
     dealt = dealt.select("token", "id", "n", F.expr("if(at = 0, id, prefix[greatest(at - 1, 0)])").alias("prev"))
     out = cut(dealt.repartition("token").sortWithinPartitions("token").mapInPandas(_shared(similar), PAIRS))
-    search.add(out.where("a IS NOT NULL").select("a", "b"))
+    search.add(same.unionByName(close).unionByName(out.where("a IS NOT NULL").select("a", "b")))
     while True:
         many = out.where("token IS NOT NULL").select("token", "id", "n", "prev")
         if many.isEmpty():
@@ -271,7 +276,6 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILA
         search.add(out.where("a IS NOT NULL").select("a", "b"))
     # Rows are kept or left out by their keys; whole documents are dealt only where they repeat.
     placed = search.rooted(rows.select("doc_id", "text_hash", "node"), "node", "root").groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("times"))
-    placed = cut(placed)
     known = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     winners = placed.groupBy("root").agg(F.min(known).alias("w")).select(F.col("root").alias("_root"), F.col("w.doc_id").alias("w_id"), F.col("w.text_hash").alias("w_hash"))
     wins = (F.col("root") == F.col("_root")) & F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))

@@ -335,6 +335,7 @@ def test_near_duplicates_of_odd_tables(spark):
 @pytest.mark.parametrize("small", [32, 2])
 def test_near_copies_equal_all_pairs(spark, monkeypatch, small):
     monkeypatch.setattr(nearcopies, "SMALL", small)
+    monkeypatch.setattr(nearcopies, "TRIED", 10 if small == 2 else nearcopies.TRIED)
     rng = random.Random(9)
     line = " ".join(f"common{i}" for i in range(30))
     texts = [None, "", "a b", "A  b", "a b c d e", "a b c d f"]
