@@ -72,17 +72,17 @@ def load_config(path: str | Path) -> Config:
         raise ConfigError(f"can't read {path}: {e}") from e
 
 
-#: Settings of the packaged example region, public land with steep knobs.  Fixed values.
+#: Settings of the packaged example region: open dunes, where steep faces are ground.
 DEMO_REGION = """
 [region]
-name = "Wichita Mountains NWR sample area"
-land_status = "Federal public land: U.S. Fish and Wildlife Service national wildlife refuge."
-bbox_wgs84 = [-98.6841, 34.7466, -98.6775, 34.7520]
-notes = "Illustrative area only."
+name = "White Sands dune field"
+land_status = "Public land in a national park of the United States"
+bbox_wgs84 = [-106.2700, 32.8150, -106.2640, 32.8200]
+notes = "An example; any box of longitude and latitude will do."
 [pipeline.ground]
-terrain_slope = 0.45
+terrain_slope = 0.6
 [pipeline.canopy]
-max_height_m = 40.0
+max_height_m = 15.0
 """
 
 
