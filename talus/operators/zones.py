@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InputDataError
@@ -32,8 +33,13 @@ def zones_from_geojson(collection: dict[str, Any], grid: Grid, name_field: str =
     Coordinates are longitude and latitude unless the collection has the old
     ``crs`` member.  Other geometries are passed over; none left is an error.
     """
-    source = epsg(str(((collection.get("crs") or {}).get("properties") or {}).get("name", "EPSG:4326")).replace("urn:ogc:def:crs:", "").replace("::", ":"))
-    geographic = source in (None, 4326, 4979) or "CRS84" in str(collection.get("crs"))
+    if not grid.crs:
+        raise InputDataError("zones need a grid whose coordinate system is known")
+    named = str(((collection.get("crs") or {}).get("properties") or {}).get("name") or "EPSG:4326")
+    source = 4326 if re.search(r"CRS:?84\b", named) else epsg(re.sub(r"^urn:ogc:def:crs:([A-Za-z]+):[^:]*:", r"\1:", named.strip(), flags=re.IGNORECASE))
+    if source is None:
+        raise InputDataError(f"the zones' coordinate system {named!r} can't be read")
+    geographic = source in (4326, 4979)
 
     def place(xy: list[float]) -> tuple[float, float]:
         if geographic:
@@ -137,9 +143,3 @@ def zone_totals(cells: DataFrame) -> DataFrame:
 def label_places(cells: DataFrame) -> DataFrame:
     """Mean row and column of each zone's cells, to put its label at."""
     return cells.where("zone_id IS NOT NULL").groupBy("zone_id").agg(F.avg("row").alias("row"), F.avg("col").alias("col"))
-
-
-def latest_zone(found: DataFrame) -> DataFrame:
-    """Of (cell, zone_id) rows, the latest zone of each cell."""
-    newest = Window.partitionBy("cell").orderBy(F.desc("zone_id"))
-    return found.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")

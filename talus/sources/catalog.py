@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import logging
 import os
+import re
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DownloadError, InputDataError
@@ -21,7 +22,7 @@ log = logging.getLogger(__name__)
 #: Where the public catalogue is and which hosts it may lead to.
 SEARCH_URL = "https://tnmaccess.nationalmap.gov/api/v1/products"
 DATASET = "Lidar Point Cloud (LPC)"
-HOSTS = ("rockyweb.usgs.gov", "prd-tnm.s3.amazonaws.com", "tnmaccess.nationalmap.gov")
+SEARCH_HOSTS, FILE_HOSTS = ("tnmaccess.nationalmap.gov",), ("usgs.gov", "prd-tnm.s3.amazonaws.com")
 LATTICE, FULL = 11, 0.999
 
 TILES = "title string, url string, size_bytes long, date string, west double, south double, east double, north double, project string, filename string, nth long"
@@ -34,12 +35,20 @@ def _open(url: str, timeout_s: float) -> Any:
     return urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "talus"}), timeout=timeout_s)  # noqa: S310
 
 
-def check_url(url: str) -> None:
+def check_url(url: str, hosts: tuple[str, ...] = FILE_HOSTS) -> None:
+    """Refuse what isn't https at one of the hosts or below it."""
     parts = urllib.parse.urlsplit(url)
-    if parts.scheme != "https" or parts.hostname not in HOSTS:
+    labels = (parts.hostname or "").split(".")
+    if parts.scheme != "https" or not {".".join(labels[i:]) for i in range(len(labels))} & set(hosts):
         raise DownloadError(f"refused: {url} is not https at a known host")
 
 
+def check_name(name: str, url: str) -> None:
+    """Refuse what isn't the bare name of a point tile."""
+    if not name.lower().endswith(".laz") or re.search(r"[\\/\0]", name):
+        raise DownloadError(f"refused: {name!r} of {url} is not the name of a point tile")
+
+
 def project_of(url: Column, title: Column) -> Column:
     """The path part after ``Projects``; else the title without its last word."""
     found = F.regexp_extract(url, "/Projects/([^/]+)/", 1)
@@ -73,10 +82,10 @@ def search_tiles(spark: SparkSession, bbox: tuple[float, float, float, float], t
     """Tiles that the catalogue has for a box, one page."""
     query = urllib.parse.urlencode({"datasets": DATASET, "bbox": ",".join(map(str, bbox)), "max": max_items, "outputFormat": "JSON"})
     url = f"{SEARCH_URL}?{query}"
-    check_url(url)
+    check_url(url, SEARCH_HOSTS)
     try:
         with opener(url, timeout_s) as answer:
-            check_url(answer.geturl())
+            check_url(answer.geturl(), SEARCH_HOSTS)
             payload = answer.read().decode()
     except OSError as e:
         raise DownloadError(f"the catalogue can't be reached: {e}") from e
@@ -138,17 +147,17 @@ def totals_by_project(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("project").agg(F.max("date").alias("newest"), F.sum("size_bytes").alias("total_bytes"), F.count("*").alias("tiles"))
 
 
-
 def download_tiles(tiles: list[dict[str, Any]], dest: str | Path, timeout_s: float = 600, opener: Opener = _open) -> list[Path]:
-    """Fetch tiles (url, filename, size_bytes) into a folder; those there in full size are kept."""
+    """Fetch tiles (url, filename, size_bytes) into a folder; those there in full, known size are kept."""
     folder = Path(dest)
     folder.mkdir(parents=True, exist_ok=True)
     out = []
     for tile in tiles:
         check_url(tile["url"])
+        check_name(tile["filename"], tile["url"])
         target = folder / tile["filename"]
         out.append(target)
-        if target.exists() and (not tile["size_bytes"] or target.stat().st_size == tile["size_bytes"]):
+        if tile["size_bytes"] and target.exists() and target.stat().st_size == tile["size_bytes"]:
             continue
         part = target.with_name(target.name + ".part")
         try:

@@ -50,6 +50,21 @@ def test_tiles_are_parsed_chosen_and_fetched(spark, tmp_path):
     with pytest.raises(DownloadError):
         catalog.download_tiles(best, tmp_path, opener=lambda url, t: Answer(b"", "https://elsewhere.example/x"))
     assert not list(tmp_path.iterdir())
+    fetched = []
+
+    def opener(url, t):
+        fetched.append(url)
+        return Answer(b"01", url)
+
+    (tmp_path / "u.laz").write_bytes(b"part")  # of a tile of unknown size: fetched again
+    unknown = {"url": "https://data.usgs.gov/a/u.laz", "filename": "u.laz", "size_bytes": 0}
+    assert catalog.download_tiles([unknown], tmp_path, opener=opener)[0].read_bytes() == b"01" and len(fetched) == 1
+    for url, name in (("https://usgs.gov.example.com/a.laz", "a.laz"), ("http://data.usgs.gov/a.laz", "a.laz"), ("https://badusgs.gov/a.laz", "a.laz"), ("https://data.usgs.gov/a.exe", "a.exe"), ("https://data.usgs.gov/x", "../a.laz"), ("https://data.usgs.gov/x", "..\\a.laz")):
+        with pytest.raises(DownloadError):
+            catalog.download_tiles([{"url": url, "filename": name, "size_bytes": 1}], tmp_path, opener=opener)
+    assert len(fetched) == 1
+    with pytest.raises(DownloadError):  # the catalogue may not lead to where files are
+        catalog.search_tiles(spark, BOX, opener=lambda url, t: Answer(b"{}", "https://data.usgs.gov/x"))
     untitled = spark.createDataFrame([("https://h/x.laz", "Some Site 12")], "u string, t string")
     assert untitled.select(catalog.project_of(F.col("u"), F.col("t"))).first()[0] == "Some Site"
 
