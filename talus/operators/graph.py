@@ -51,6 +51,23 @@ def _rooted(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "root": node[at]})
 
 
+def _ranked(frame: pd.DataFrame) -> pd.DataFrame:
+    order, after = _places(frame)
+    rank, alive = np.ones(len(after), np.int64), np.ones(len(after), bool)
+    while True:
+        coming = after[alive & (after >= 0)]
+        reached, at = np.bincount(coming, minlength=len(after)) >= 2, after
+        while (at >= 0).any():  # what lies below a meeting
+            moving = np.flatnonzero(at >= 0)
+            further = reached.copy()
+            np.logical_or.at(further, at[moving], reached[moving])
+            reached, at = further, np.where(at >= 0, at[at], -1)
+        if not reached.any():
+            return pd.DataFrame({"node": frame["node"].to_numpy()[order], "rank": rank})
+        rank += reached
+        alive = reached
+
+
 def _joined(frame: pd.DataFrame) -> pd.DataFrame:
     node, ends = np.unique(frame[["a", "b"]].to_numpy(), return_inverse=True)
     a, b = ends.reshape(-1, 2).T
@@ -65,14 +82,15 @@ def _joined(frame: pd.DataFrame) -> pd.DataFrame:
         label = lower
 
 
-def accumulate(nodes: DataFrame, weight: str = "weight") -> DataFrame:
+def accumulate(nodes: DataFrame, weight: str = "weight", small: int | None = None) -> DataFrame:
     """(node, acc): each node's weight with that of all nodes that lead to it.
 
     nodes: node, next (null at a root), weight.  After k rounds ``acc`` covers
-    the 2^k nearest steps upstream and ``next`` points 2^k steps on.
+    the 2^k nearest steps upstream and ``next`` points 2^k steps on.  ``small``
+    is how many rows one task may hold; ``SMALL`` without.
     """
     state = cut(nodes.select("node", "next", F.col(weight).alias("acc")))
-    if state.count() <= SMALL:
+    if state.count() <= (SMALL if small is None else small):
         return _in_one_task(state, _accumulated, f"node long, acc {state.schema['acc'].dataType.simpleString()}")
     while True:
         moving = state.where("next IS NOT NULL")
@@ -87,10 +105,10 @@ def accumulate(nodes: DataFrame, weight: str = "weight") -> DataFrame:
         )
 
 
-def roots(nodes: DataFrame) -> DataFrame:
+def roots(nodes: DataFrame, small: int | None = None) -> DataFrame:
     """(node, root): where following ``next`` from each node ends.  nodes: node, next (null at a root)."""
     state = cut(nodes.select("node", "next"))
-    if state.count() <= SMALL:
+    if state.count() <= (SMALL if small is None else small):
         return _in_one_task(state, _rooted, "node long, root long")
     state = state.select("node", F.coalesce("next", "node").alias("at"))
     while True:
@@ -118,3 +136,24 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("u", "label")
         if after.where("old != label").isEmpty():
             return label.select(F.col("u").alias("node"), F.col("label").alias("root"))
+
+
+def ranks(nodes: DataFrame, small: int | None = None) -> DataFrame:
+    """(node, rank): Strahler's order in a forest.  nodes: node, next (null at a root).
+
+    All nodes have rank 1.  Those of rank k and more that lie at or below a place
+    where two such come together have rank k + 1, so there is a round for each
+    rank, of which there are no more than the logarithm of the nodes.
+    """
+    alive = cut(nodes.select("node", "next"))
+    if alive.count() <= (SMALL if small is None else small):
+        return _in_one_task(alive, _ranked, "node long, rank long")
+    levels = alive.select("node", F.lit(1).cast("long").alias("rank"))
+    for rank in range(2, 65):
+        meetings = cut(alive.where("next IS NOT NULL").groupBy("next").count().where("count >= 2").select(F.col("next").alias("node"), F.lit(1).cast("long").alias("weight")))
+        if meetings.isEmpty():
+            break
+        marked = alive.join(meetings, "node", "left").select("node", "next", F.coalesce("weight", F.lit(0)).alias("weight"))
+        alive = cut(alive.join(accumulate(marked, small=small).where("acc > 0").select("node"), "node"))
+        levels = levels.unionByName(alive.select("node", F.lit(rank).cast("long").alias("rank")))
+    return levels.groupBy("node").agg(F.max("rank").alias("rank"))

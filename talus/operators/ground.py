@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InputDataError
+from ..lineage import cut
 from ..model import GROUND, GroundParams, Grid, PointCloud, noise_mask
 from .fill import fill_voids
-from .graph import cut
 from .raster import dense, occupied, opening, sample
 
 
@@ -35,6 +35,18 @@ def pmf_grid(cloud: PointCloud, cell_m: float) -> Grid:
     return Grid.from_bounds(west, south, east + 0.5 * res, north + 0.5 * res, res, cloud.crs, cloud.meters_per_unit)
 
 
+def raised_cells(surface: DataFrame, windows: list[tuple[int, float]]) -> DataFrame:
+    """``surface`` (cell, row, col, v, ...) with ``off``: whether a cell stands above the opening by any of the windows by more than its limit.
+
+    Each window opens what the one before has left, which ``v`` is in the end.
+    """
+    surface = surface.withColumn("off", F.lit(False))
+    for size, limit in windows:
+        opened = opening(surface.withColumn("opened", F.col("v")), size, "opened")
+        surface = cut(opened.withColumn("off", F.col("off") | (F.col("v") - F.col("opened") > limit)).withColumn("v", F.col("opened")).drop("opened"))
+    return surface
+
+
 def pmf_ground(cloud: PointCloud, params: GroundParams = GroundParams(), cell_m: float = 1.0) -> DataFrame:
     """The points with ``is_ground``, by a progressive morphological filter.
 
@@ -44,11 +56,8 @@ def pmf_ground(cloud: PointCloud, params: GroundParams = GroundParams(), cell_m:
     """
     grid = pmf_grid(cloud, cell_m)
     lowest = cut(dense(occupied(cloud.points, grid, lowest=F.min("z")), grid))
-    surface = fill_voids(lowest.withColumn("v", F.col("lowest")), grid, max_iter=50).withColumn("off", F.lit(False))
     sizes = window_sizes(cell_m, params.max_window_m)
-    for size, limit in zip(sizes, thresholds(sizes, params, cell_m), strict=True):
-        opened = opening(surface.withColumn("opened", F.col("v")), size, "opened")
-        surface = cut(opened.withColumn("off", F.col("off") | (F.col("v") - F.col("opened") > limit)).withColumn("v", F.col("opened")).drop("opened"))
+    surface = raised_cells(fill_voids(lowest.withColumn("v", F.col("lowest")), grid, max_iter=50), list(zip(sizes, thresholds(sizes, params, cell_m), strict=True)))
     ground = surface.withColumn("v", F.when(~F.col("off"), F.col("lowest"))).select("cell", "row", "col", "v")
     bare = fill_voids(ground, grid, max_iter=400)
     near = sample(cloud.points, bare, grid, into="_bare")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut, numbered
 from ..model import Grid, HydrologyParams
 from .fill import fill_depressions
-from .graph import accumulate, cut, roots
+from .graph import accumulate, ranks, roots
 from .raster import around
 
 OUTLET = 0
@@ -40,10 +39,10 @@ def downstream(grid: Grid, direction: str = "direction") -> Column:
     return found
 
 
-def flow_accumulation(cells: DataFrame, weight: Column | None = None) -> DataFrame:
+def flow_accumulation(cells: DataFrame, weight: Column | None = None, small: int | None = None) -> DataFrame:
     """(cell, acc) from (cell, downstream): the number, or summed weight, of cells that drain through each, itself included."""
     nodes = cells.select(F.col("cell").alias("node"), F.col("downstream").alias("next"), (F.lit(1).cast("long") if weight is None else weight).alias("weight"))
-    return accumulate(nodes).withColumnRenamed("node", "cell")
+    return accumulate(nodes, small=small).withColumnRenamed("node", "cell")
 
 
 def streams(cells: DataFrame, threshold_cells: float) -> DataFrame:
@@ -56,51 +55,26 @@ def streams(cells: DataFrame, threshold_cells: float) -> DataFrame:
     return kept.join(inflow, "cell", "left").withColumn("inflow", F.coalesce("inflow", F.lit(0)))
 
 
-def _orders(frame: pd.DataFrame) -> pd.DataFrame:
-    """Strahler order of each reach of one basin, upstream first."""
-    start, into = frame["start"].to_numpy(), frame["into"].to_numpy(float)
-    place = {s: i for i, s in enumerate(start.tolist())}
-    after = np.array([place.get(int(x), -1) if x == x else -1 for x in into])
-    waiting = np.bincount(after[after >= 0], minlength=len(start))
-    order, best, ties = np.ones(len(start), np.int64), np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-    ready = list(np.flatnonzero(waiting == 0))
-    while ready:
-        i = ready.pop()
-        if best[i]:
-            order[i] = best[i] + (ties[i] >= 2)
-        j = after[i]
-        if j >= 0:
-            if order[i] > best[j]:
-                best[j], ties[j] = order[i], 1
-            elif order[i] == best[j]:
-                ties[j] += 1
-            waiting[j] -= 1
-            if not waiting[j]:
-                ready.append(j)
-    return pd.DataFrame({"start": start, "strahler_order": order})
-
-
-def _starts(stream: DataFrame) -> DataFrame:
+def _starts(stream: DataFrame, small: int | None) -> DataFrame:
     """(cell, start) of stream cells: the head or junction that each one's reach starts at."""
     above = stream.where("downstream IS NOT NULL").select(F.col("downstream").alias("cell"), F.col("cell").alias("up"))
     nodes = stream.where("inflow = 1").join(above, "cell").select(F.col("cell").alias("node"), F.col("up").alias("next"))
     heads = stream.where("inflow != 1").select(F.col("cell").alias("node"), F.lit(None).cast("long").alias("next"))
-    return roots(nodes.unionByName(heads)).select(F.col("node").alias("cell"), F.col("root").alias("start"))
+    return roots(nodes.unionByName(heads), small).select(F.col("node").alias("cell"), F.col("root").alias("start"))
 
 
-def _paths(stream: DataFrame, start: DataFrame) -> DataFrame:
+def _paths(stream: DataFrame, start: DataFrame, small: int | None) -> DataFrame:
     """start, path, into (the junction that follows), acc and strahler_order of every reach, single cells too."""
     found = cut(
         stream.join(start, "cell")
         .groupBy("start")
         .agg(F.array_sort(F.collect_list(F.struct("acc", "cell"))).alias("path"), F.max_by("downstream", F.struct("acc", "cell")).alias("into"), F.max("acc").alias("acc"))
     )
-    basins = roots(found.select(F.col("start").alias("node"), F.col("into").alias("next"))).select(F.col("node").alias("start"), F.col("root").alias("basin"))
-    orders = found.join(basins, "start").select("basin", "start", F.col("into").cast("double").alias("into")).groupBy("basin").applyInPandas(_orders, "start long, strahler_order long")
-    return found.join(orders, "start")
+    orders = ranks(found.select(F.col("start").alias("node"), F.col("into").alias("next")), small)
+    return found.join(orders.select(F.col("node").alias("start"), F.col("rank").alias("strahler_order")), "start")
 
 
-def reaches(stream: DataFrame, grid: Grid) -> DataFrame:
+def reaches(stream: DataFrame, grid: Grid, small: int | None = None) -> DataFrame:
     """Reaches between heads, junctions and outlets.
 
     stream: cell, downstream, acc, inflow.  A reach starts where no or several
@@ -110,9 +84,10 @@ def reaches(stream: DataFrame, grid: Grid) -> DataFrame:
     """
     stream = cut(stream)
     cells = F.concat(F.transform("path", lambda p: p["cell"]), F.when(F.col("into").isNotNull(), F.array("into")).otherwise(F.array().cast("array<bigint>")))
-    whole = _paths(stream, _starts(stream)).withColumn("cells", cells).where(F.size("cells") >= 2)
-    return whole.select(
-        F.row_number().over(Window.orderBy("start")).alias("reach_id"),
+    whole = _paths(stream, _starts(stream, small), small).withColumn("cells", cells).where(F.size("cells") >= 2)
+    numbers = numbered(whole.select("start"), ["start"], "reach_id")  # the starts alone are put in order
+    return whole.join(numbers, "start").select(
+        F.col("reach_id").cast("int").alias("reach_id"),
         "start",
         "cells",
         "strahler_order",
@@ -121,11 +96,11 @@ def reaches(stream: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def strahler_orders(stream: DataFrame) -> DataFrame:
+def strahler_orders(stream: DataFrame, small: int | None = None) -> DataFrame:
     """(cell, strahler_order) of stream cells."""
     stream = cut(stream)
-    start = cut(_starts(stream))
-    return start.join(_paths(stream, start).select("start", "strahler_order"), "start").select("cell", "strahler_order")
+    start = cut(_starts(stream, small))
+    return start.join(_paths(stream, start, small).select("start", "strahler_order"), "start").select("cell", "strahler_order")
 
 
 def path_length(cells: str, grid: Grid) -> Column:

@@ -7,10 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import SLOPE_EDGES, HillshadeParams
+from ..model import SLOPE_EDGES, Grid, HillshadeParams
 from .raster import around
 
 FLAT = 1e-6
+#: The least contributing area that is mapped, the light of full shade, and the colors from low to high.
+LEAST_MAPPED_M2, SHADE = 200.0, 0.45
+ELEVATION_COLORS = ("#2f5d50", "#a9c58b", "#e8dcb5", "#a0704c")
 
 
 def horn_gradient(nb: str, res_m: float) -> tuple[Column, Column]:
@@ -55,3 +58,26 @@ def slope_shares(slope: str = "slope", edges: tuple[float, ...] = SLOPE_EDGES) -
         inside = (F.col(slope) >= low) & (F.col(slope) < high)
         bins.append(F.struct(F.lit(label).alias("key"), F.try_divide(F.lit(100.0) * F.coalesce(F.sum(inside.cast("long")), F.lit(0)), F.count(F.lit(1))).alias("value")))
     return F.map_from_entries(F.array(*bins))
+
+
+def log_contributing_area(grid: Grid, acc: str = "acc") -> Column:
+    """Decimal logarithm of the square meters that drain through a cell; null below what is worth a mark."""
+    area = F.col(acc) * F.lit(grid.cell_area_m2)
+    return F.when(area >= LEAST_MAPPED_M2, F.log10(area))
+
+
+def shaded_color(cells: DataFrame, value: str = "dem", shade: str = "hillshade", colors: tuple[str, ...] = ELEVATION_COLORS) -> DataFrame:
+    """Adds ``red``, ``green`` and ``blue`` from 0 to 1: a ramp over the values, darker where there is less light."""
+    low, high = cells.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        return cells.withColumns(dict.fromkeys(("red", "green", "blue"), F.lit(None).cast("double")))
+    share = (F.col(value) - F.lit(low)) / F.lit(max(high - low, 1e-9)) * F.lit(float(len(colors) - 1))
+    below = F.least(F.floor(share), F.lit(len(colors) - 2))
+    light = F.lit(SHADE) + F.lit(1.0 - SHADE) * F.col(shade)
+
+    def channel(at: int) -> Column:
+        steps = F.array(*(F.lit(int(c[1 + 2 * at : 3 + 2 * at], 16) / 255.0) for c in colors))
+        first, second = F.get(steps, below.cast("int")), F.get(steps, (below + 1).cast("int"))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (first + (second - first) * (share - below)) * light))
+
+    return cells.withColumns({name: F.when(F.col(value).isNotNull(), channel(i)) for i, name in enumerate(("red", "green", "blue"))})

@@ -47,10 +47,16 @@ def _check(key: str, name: str, value: float | None, limit: float, unit: str = "
     return Check(key, name, value, limit, value >= limit if at_least else value <= limit, unit, ">=" if at_least else "<=")
 
 
-def _rmse(error: Column) -> Column:
+def rmse(error: Column) -> Column:
+    """Aggregate: the root of the mean square."""
     return F.sqrt(F.avg(error * error))
 
 
+def middle_and_tail(offset: str = "offset") -> tuple[Column, Column]:
+    """Aggregates: the median and the 95th percentile of what is not null."""
+    return F.median(offset), F.percentile(offset, 0.95)
+
+
 def ground_figures(products: Products, scene: Scene) -> DataFrame:
     """Share of true ground found, and of raised returns taken for ground."""
     joined = products.points.select("point_id", "is_ground").join(scene.truth_points, "point_id")
@@ -62,7 +68,7 @@ def ground_figures(products: Products, scene: Scene) -> DataFrame:
 def dem_figures(products: Products, scene: Scene) -> DataFrame:
     """Error of the bare earth everywhere, and under crowns of over 2 m."""
     error = F.col("dem") - F.col("true_dem")
-    return products.cells.select("cell", "dem").join(scene.truth_cells, "cell").agg(_rmse(error).alias("all"), F.coalesce(_rmse(F.when(F.col("true_chm") > 2, error)), F.lit(0.0)).alias("under"))
+    return products.cells.select("cell", "dem").join(scene.truth_cells, "cell").agg(rmse(error).alias("all"), F.coalesce(rmse(F.when(F.col("true_chm") > 2, error)), F.lit(0.0)).alias("under"))
 
 
 def crown_error(products: Products, scene: Scene) -> DataFrame:
@@ -120,7 +126,8 @@ def validate(products: Products, scene: Scene, tol: Tolerances = Tolerances()) -
     whole, under = dem_figures(products, scene).first()
     crown = crown_error(products, scene).first()[0]
     areas = {r["name"]: r["error"] for r in area_errors(products, scene).collect()}
-    offsets = channel_offsets(products, scene).agg(F.avg(F.col("offset").isNotNull().cast("double")).alias("n"), F.median("offset").alias("m"), F.percentile("offset", 0.95).alias("p")).first()
+    middle, tail = middle_and_tail()
+    offsets = channel_offsets(products, scene).agg(F.avg(F.col("offset").isNotNull().cast("double")).alias("n"), middle.alias("m"), tail.alias("p")).first()
     return [
         _check("ground_recall", "Ground returns found", recall, tol.ground_recall, at_least=True),
         _check("ground_commission", "Raised returns taken for ground", commission, tol.ground_commission),

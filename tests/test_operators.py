@@ -1,7 +1,6 @@
 """Operators against hand-computed answers and plain NumPy versions of them."""
 
 import heapq
-import json
 import math
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from talus.config import load_demo_region_config, parse_config
 from talus.errors import ConfigError, InputDataError
 from talus.functions import crs
+from talus.lineage import numbered
 from talus.model import Grid, GroundParams, HydrologyParams, PointCloud, VegetationParams, build_classes, noise_mask
 from talus.operators import canopy, classes, fill, graph, ground, hydrology, raster, terrain, zones
 from talus.sources.tiff import from_array, to_array
@@ -91,18 +91,21 @@ def relax(data, tolerance=1e-4, sweeps=400):
     return out
 
 
-def test_voids_are_filled_alike_whole_and_by_component(spark, monkeypatch):
+def test_voids_are_filled_alike_whole_and_by_tile(spark):
     rng = np.random.default_rng(2)
     rows, cols = np.indices((24, 26))
     data = 5 + 0.3 * cols - 0.2 * rows + rng.normal(0, 0.1, rows.shape)
     data[rng.uniform(size=data.shape) < 0.3] = np.nan
     data[8:15, 5:14] = np.nan
+    data[:, 22:] = np.nan  # a margin without data
+    data[20] = np.nan
     g = grid_of(data)
     whole = layer(fill.fill_voids(from_array(spark, data, g), g), g)
     assert np.abs(whole - relax(data)).max() < 1e-2 and not np.isnan(whole).any()
-    monkeypatch.setattr(fill, "WHOLE", 0)
-    parts = layer(fill.fill_voids(from_array(spark, data, g), g), g)
-    assert np.abs(parts - whole).max() < 1e-2
+    for side, depth, most in ((7, 3, 400), (10, 10, 400), (64, 64, 7)):
+        parts = layer(fill.fill_voids(from_array(spark, data, g), g, whole=0, side=side, depth=depth, max_iter=most), g)
+        alike = whole if most == 400 else layer(fill.fill_voids(from_array(spark, data, g), g, max_iter=most), g)
+        assert (parts == alike).all(), (side, depth)
     full = from_array(spark, np.ones((3, 3)), grid_of(np.ones((3, 3))))
     assert fill.fill_voids(full, grid_of(np.ones((3, 3)))) is full
     with pytest.raises(InputDataError):
@@ -132,7 +135,16 @@ def flood(dem):
     return np.where(np.isnan(dem), np.nan, water)
 
 
-@pytest.mark.parametrize("side", [512, 7])
+def test_nearest_columns_by_an_envelope():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        cols = np.sort(rng.choice(40, rng.integers(1, 15), replace=False))
+        apart = rng.integers(0, 9, len(cols)) ** 2
+        want = [int(np.argmin(apart + (cols - c) ** 2)) for c in range(40)]
+        assert fill._envelope(cols, apart, np.arange(40)).tolist() == want
+
+
+@pytest.mark.parametrize("side", [512, 7, 2])
 def test_depressions_are_filled_as_by_a_sequential_flood(spark, side):
     dem = np.random.default_rng(3).normal(size=(18, 20)).round(1)
     dem[4, 4] = np.nan
@@ -196,8 +208,25 @@ def test_reaches_and_strahler_equal_a_walk(spark):
     for s, (path, o, area) in want.items():
         assert (found[s]["cells"], found[s]["strahler_order"]) == (path, o) and found[s]["contributing_area_ha"] == pytest.approx(area)
     assert [r["reach_id"] for r in sorted(found.values(), key=lambda r: r["start"])] == list(range(1, len(found) + 1))
-    own = {r["cell"]: r["strahler_order"] for r in hydrology.strahler_orders(stream).collect()}
-    assert all(own[c] == order[c] for c in kept)
+    for small in (None, 0):  # in one task, and in rounds of jobs
+        own = {r["cell"]: r["strahler_order"] for r in hydrology.strahler_orders(stream, small).collect()}
+        assert all(own[c] == order[c] for c in kept)
+    by_rounds = {r["start"]: (r["reach_id"], r["cells"], r["strahler_order"]) for r in hydrology.reaches(stream, g, small=0).collect()}
+    assert by_rounds == {s: (r["reach_id"], r["cells"], r["strahler_order"]) for s, r in found.items()}
+    assert hydrology.reaches(stream.where("cell < 0"), g).count() == 0 == hydrology.strahler_orders(stream.where("cell < 0"), 0).count()
+
+
+def test_ranks_of_full_and_empty_trees(spark):
+    full = spark.createDataFrame([(i, (i - 1) // 2 if i else None) for i in range(31)], "node long, next long")
+    for small in (None, 0):
+        found = {r["node"]: r["rank"] for r in graph.ranks(full, small).collect()}
+        assert found == {i: 5 - (i + 1).bit_length() + 1 for i in range(31)}
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
+    assert [(r["v"], r["n"]) for r in numbered(rows, ["v"], "n").orderBy("n").collect()] == [(i, i + 1) for i in range(1000)]
+    assert numbered(rows.where("v < 0"), ["v"], "n").count() == 0
 
 
 def test_lines_are_simplified_and_measured(spark):
@@ -209,6 +238,34 @@ def test_lines_are_simplified_and_measured(spark):
     assert found["m"] == pytest.approx(3 + 2 * math.sqrt(2))
 
 
+def test_empty_boxes_are_refused():
+    for box in ((0, 0, 0, 5), (0, 0, 5, 0), (5, 0, 0, 5)):
+        with pytest.raises(ConfigError):
+            Grid.from_bounds(*box, 1.0)
+    g = Grid.from_bounds(10.2, 20.7, 15.1, 23.0, 1.0, meters_per_unit=2.0)
+    assert g.extent_m == (0.0, 12.0, 0.0, 6.0) and g.transform == (1.0, 0.0, 10.0, 0.0, -1.0, 23.0) and g.bounds == (10.0, 20.0, 16.0, 23.0)
+
+
+def test_classes_are_checked():
+    assert [c.label for c in build_classes()] == ["Open (<0.5 m)", "Shrub (0.5-2 m)", "Small tree (2-5 m)", "Tree (>5 m)"]
+    for wrong in ({"breaks_m": (2.0, 1.0, 5.0)}, {"breaks_m": (0.0, 1.0, 2.0)}, {"names": ("a",)}, {"woody": ("Moss",)}, {"colors": ()}):
+        with pytest.raises(ConfigError):
+            build_classes(VegetationParams(**wrong))
+
+
+def test_systems_of_zones_are_read_or_refused():
+    square = [[[500002, 5], [500012, 5], [500012, 15], [500002, 15], [500002, 5]]]
+    make = lambda name: {"type": "FeatureCollection", "features": [{"geometry": {"type": "Polygon", "coordinates": square}}]} | ({"crs": {"properties": {"name": name}}} if name else {})
+    g = Grid(500_000.0, 30.0, 1.0, 20, 30, "EPSG:32631")
+    for name in ("EPSG:32631", "urn:ogc:def:crs:EPSG::32631", "urn:ogc:def:crs:EPSG:9.8:32631"):
+        assert zones.zones_from_geojson(make(name), g)[0].polygons[0][0][0] == (500002.0, 5.0)
+    for name in ("the town's own", "urn:ogc:def:crs:EPSG::27700"):
+        with pytest.raises(InputDataError):
+            zones.zones_from_geojson(make(name), g)
+    with pytest.raises(InputDataError):
+        zones.zones_from_geojson(make("EPSG:32631"), Grid(0.0, 1.0, 1.0, 1, 1))
+
+
 def test_components(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (5, 5)], "a long, b long")
     for small in (graph.SMALL, 0):
@@ -323,7 +380,7 @@ def test_projection_goes_there_and_back(spark):
 
 
 def test_settings():
-    assert load_demo_region_config().pipeline.ground.terrain_slope == 0.45
+    assert load_demo_region_config().pipeline.ground.terrain_slope == 0.6
     assert parse_config("[other]\nx = 1").region is None
     region = '[region]\nname = "a"\nland_status = "b"\n'
     for bad in ("[pipeline]\nzoom = 1", "[pipeline.ground]\nmethod = 'magic'", "broken", region, region + "bbox_wgs84 = [1, 2, 0, 3]", region + "bbox_wgs84 = [1, 2]", "[pipeline]\nresolution_m = 0"):
@@ -332,4 +389,4 @@ def test_settings():
 
 
 def test_threshold_follows_cell_area():
-    assert hydrology.threshold_cells(HydrologyParams(1.0), Grid(0, 10, 2.0, 5, 5)) == 2500 and json.dumps(1)
+    assert hydrology.threshold_cells(HydrologyParams(1.0), Grid(0, 10, 2.0, 5, 5)) == 2500
