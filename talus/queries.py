@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import Grid, HillshadeParams, VegetationParams, build_classes, noise_mask, vegetation_mask
-from .operators import canopy, classes, fill, hydrology, raster, terrain, zones
+from .model import CanopyParams, GroundParams, Grid, HillshadeParams, PipelineParams, VegetationParams, build_classes, noise_mask, vegetation_mask
+from .operators import canopy, classes, fill, ground, hydrology, raster, terrain, zones
+from .plans import pipeline, validation
 from .sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,8 +121,8 @@ def vegetation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ground_share_auto", f"{POINTS} SELECT sum(CASE WHEN cls = 2 THEN 1.0::double ELSE 0.0::double END) / count(*) AS share, sum(CASE WHEN cls = 2 THEN 1.0::double ELSE 0.0::double END) / count(*) >= 0.05 AS trusted FROM p WHERE cls NOT IN (7, 18)")
 def ground_share_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = F.avg((F.col("classification") == 2).cast("double"))
-    return points(spark, sf_dir).where(~noise_mask()).agg(share.alias("share"), (share >= 0.05).alias("trusted"))
+    share = ground.ground_share(points(spark, sf_dir))
+    return spark.createDataFrame([(share, share >= GroundParams().min_existing_fraction)], "share double, trusted boolean")
 
 
 GROUND_MEAN = "g AS (SELECT cell, sum(z_mm)::double / count(*) AS dem FROM p WHERE cls = 2 GROUP BY cell)"
@@ -129,8 +130,8 @@ GROUND_MEAN = "g AS (SELECT cell, sum(z_mm)::double / count(*) AS dem FROM p WHE
 
 @query("dem_mean_void_fraction", f"{POINTS}, {GROUND_MEAN} SELECT sum(dem) IS NOT NULL AS any_ground, avg(CASE WHEN dem IS NULL THEN 1.0 ELSE 0.0 END)::double AS void_fraction FROM d LEFT JOIN g USING (cell)")
 def dem_mean_void_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = raster.dense(raster.occupied(points(spark, sf_dir).where("classification = 2"), GRID, dem=F.avg("z")), GRID)
-    return found.agg(F.sum("dem").isNotNull().alias("any_ground"), F.avg(F.col("dem").isNull().cast("double")).alias("void_fraction"))
+    dem, share = ground.bare_earth_model(points(spark, sf_dir).withColumn("is_ground", F.col("classification") == 2), GRID)
+    return dem.agg((F.count("dem") > 0).alias("any_ground"), F.lit(share).alias("void_fraction"))
 
 
 @query("dem_filled")
@@ -140,6 +141,13 @@ def dem_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill.fill_voids(found, GRID, "dem").select("cell", "dem")
 
 
+@query("dem_filled_tiles")
+def dem_filled_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, of a raster with wider voids, by tiles as large rasters are; tests hold both against each other."""
+    found = raster.dense(raster.occupied(high_points(spark, sf_dir), GRID, dem=F.avg("z")), GRID)
+    return fill.fill_voids(found, GRID, "dem", whole=0, side=32, depth=32, max_iter=96).select("cell", "dem")
+
+
 TOP = "t AS (SELECT d.cell, d.row, d.col, m::double AS v FROM d LEFT JOIN (SELECT cell, max(z_mm) AS m FROM p WHERE cls = 1 AND z_mm > 302000 GROUP BY cell) USING (cell))"
 
 
@@ -175,7 +183,8 @@ def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chm_clip", f"{CHM} SELECT cell, v AS chm FROM h")
 def chm_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heights(spark, sf_dir).select("cell", F.greatest(F.col("dsm") - F.col("dem"), F.lit(0.0)).alias("chm"))
+    """Without a spike or pit to take out, heights are clipped at the ground."""
+    return canopy.canopy_height_model(heights(spark, sf_dir), CanopyParams(max_height_m=1e9, pit_fill_m=0.0)).select("cell", "chm")
 
 
 _MEDIAN = f"list_sort([{', '.join(raster.AROUND)}])[5]"
@@ -184,8 +193,6 @@ CLEAN = f"{CHM}, {beside('h', 'b')}, k AS (SELECT cell, row, col, CASE WHEN {_ME
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .model import CanopyParams
-
     return canopy.canopy_height_model(heights(spark, sf_dir), CanopyParams(max_height_m=4.0, pit_fill_m=1.5))
 
 
@@ -314,6 +321,17 @@ def flow_accum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hydrology.flow_accumulation(directed(spark, sf_dir))
 
 
+@query("flow_accum_rounds", f"{ACCUMULATED} SELECT cell, acc FROM acc")
+def flow_accum_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As graphs too large for one task are accumulated: a round of jobs for each doubling."""
+    return hydrology.flow_accumulation(directed(spark, sf_dir), small=0)
+
+
+@query("log_contributing_area", f"{ACCUMULATED} SELECT cell, floor(CASE WHEN acc >= 200 THEN log10(acc::double) END * 1e6 + 0.5) / 1e6 AS log_m2 FROM acc")
+def log_contributing_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hydrology.flow_accumulation(directed(spark, sf_dir)).select("cell", micro(terrain.log_contributing_area(GRID)).alias("log_m2"))
+
+
 @query("flow_accum_weighted", f"{ACCUMULATED} SELECT cell, cast(weighted AS bigint) AS acc FROM acc")
 def flow_accum_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hydrology.flow_accumulation(directed(spark, sf_dir), F.col("cell") % 7 + 1)
@@ -347,17 +365,51 @@ def reaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("start", F.size("cells").alias("n_cells"), F.floor(F.col("contributing_area_ha") * 10_000 + 0.5).cast("double").alias("area"))
 
 
-@query("strahler")
+@query("reaches_rounds", f"{REACHES}, n AS (SELECT start, max(k) AS n_cells FROM walk GROUP BY start HAVING max(k) >= 2) SELECT cast(row_number() OVER (ORDER BY start) AS integer) AS reach_id, start, n_cells FROM n")
+def reaches_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As in graphs too large for one task, with the reaches' numbers."""
+    found = hydrology.reaches(stream_cells(spark, sf_dir), GRID, small=0)
+    return found.select("reach_id", "start", F.size("cells").alias("n_cells"))
+
+
+def _rank_sql(most: int) -> str:
+    """SQL: reaches of each order and more, as those at or below a place where two of the order before come together."""
+    parts = ["n1 AS (SELECT start, max(CASE WHEN done THEN cell END) AS into_cell FROM walk GROUP BY start)"]
+    for k in range(1, most):
+        parts.append(f"r{k}(start) AS (SELECT into_cell FROM n{k} WHERE into_cell IS NOT NULL GROUP BY into_cell HAVING count(*) >= 2 UNION SELECT n{k}.into_cell FROM r{k} JOIN n{k} ON n{k}.start = r{k}.start WHERE n{k}.into_cell IS NOT NULL)")
+        parts.append(f"n{k + 1} AS (SELECT * FROM n{k} WHERE start IN (SELECT start FROM r{k}))")
+    every = " UNION ALL ".join(f"SELECT start FROM n{k}" for k in range(1, most + 1))
+    return f"{', '.join(parts)}, ranked AS (SELECT start, count(*) AS strahler_order FROM ({every}) GROUP BY start)"
+
+
+#: Six orders: a stream of order seven would need 64 heads of at least ``LIMIT`` cells each, more than the lattice's shape allows.
+STRAHLER = f"{REACHES}, {_rank_sql(7)} SELECT cell, strahler_order FROM walk JOIN ranked USING (start) WHERE NOT done OR k = 1"
+
+
+@query("strahler", STRAHLER)
 def strahler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of stream cells; tests hold them against a sequential walk."""
     return hydrology.strahler_orders(stream_cells(spark, sf_dir))
 
 
-@query("simplify")
+@query("strahler_rounds", STRAHLER)
+def strahler_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As in graphs too large for one task: a round for each order."""
+    return hydrology.strahler_orders(stream_cells(spark, sf_dir), small=0)
+
+
+_STEPS = f"""{REACHES}, v AS (SELECT start, k, cell % 64 AS x, -(cell // 64) AS y FROM walk WHERE start IN (SELECT start FROM walk GROUP BY start HAVING max(k) >= 2)),
+t AS (SELECT *, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy, lead(x) OVER o - x AS ex, lead(y) OVER o - y AS ey FROM v WINDOW o AS (PARTITION BY start ORDER BY k))"""
+
+
+@query(
+    "simplify",
+    f"""{_STEPS} SELECT start, cast(count(*) AS integer) AS vertices, cast(count(*) FILTER (WHERE dx IS NULL OR ex IS NULL OR sign(dx) <> sign(ex) OR sign(dy) <> sign(ey)) AS integer) AS kept,
+floor((count(*) FILTER (WHERE abs(dx) + abs(dy) = 1) + count(*) FILTER (WHERE abs(dx) + abs(dy) = 2) * sqrt(2.0::double)) * 1e6 + 0.5) / 1e6 AS length_m FROM t GROUP BY start""",
+)
 def simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hydrology.reaches(stream_cells(spark, sf_dir), GRID).withColumn("line", hydrology.reach_line("cells", GRID))
     kept = found.withColumn("kept", hydrology.simplify_staircase("line"))
-    return kept.select("start", F.size("line").alias("vertices"), F.size("kept").alias("kept"), "length_m")
+    return kept.select("start", F.size("line").alias("vertices"), F.size("kept").alias("kept"), micro(F.col("length_m")).alias("length_m"))
 
 
 @query("depressions_filled")
@@ -382,11 +434,7 @@ def opening_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("opening_chain", f"{OPENED}, {_box_sql('o2', 'o3', True, 2)}, {_box_sql('o3', 'o4', False, 2)} SELECT s.cell, s.v - o2.v > 50 OR o2.v - o4.v > 90 AS off FROM s JOIN o2 USING (cell) JOIN o4 USING (cell)")
 def opening_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 3 and 5 in turn, each on the last one's opening; cells that stand above either."""
-    cells = surface(spark, sf_dir).withColumn("off", F.lit(False))
-    for size, limit in ((3, 50.0), (5, 90.0)):
-        opened = raster.opening(cells.withColumn("opened", F.col("v")), size, "opened")
-        cells = opened.withColumn("off", F.col("off") | (F.col("v") - F.col("opened") > limit)).withColumn("v", F.col("opened")).drop("opened")
-    return cells.select("cell", "off")
+    return ground.raised_cells(surface(spark, sf_dir), [(3, 50.0), (5, 90.0)]).select("cell", "off")
 
 
 _U, _V = "least(greatest(col + (l_orderkey % 100) / 100.0::double - 0.5::double, 0.0::double), 63.0::double)", "least(greatest(64.0::double - (64.0::double - row - (l_linenumber % 10) / 10.0::double) - 0.5::double, 0.0::double), 63.0::double)"
@@ -526,21 +574,73 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rmse", f"{_ERRORS} SELECT floor(sqrt(sum(e * e) / count(*)) * 1e6 + 0.5) / 1e6 AS rmse FROM x")
 def rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors(spark, sf_dir).agg(micro(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rmse"))
+    return errors(spark, sf_dir).agg(micro(validation.rmse(F.col("e"))).alias("rmse"))
 
 
 @query("median_p95", f"{_ERRORS} SELECT median(e) AS median, floor(quantile_cont(e, 0.95) * 1e3 + 0.5) / 1e3 AS p95 FROM x")
 def median_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors(spark, sf_dir).agg(F.median("e").alias("median"), (F.floor(F.percentile("e", 0.95) * 1e3 + 0.5) / 1e3).alias("p95"))
+    middle, tail = validation.middle_and_tail("e")
+    return errors(spark, sf_dir).agg(middle.alias("median"), (F.floor(tail * 1e3 + 0.5) / 1e3).alias("p95"))
 
 
 @query(
     "site_stats",
-    f"""{GRADIENT} SELECT count(*) AS cells, (SELECT count(*) FROM p) AS points, (SELECT count(*) FROM p WHERE cls IN (7, 18)) AS noise, (SELECT count(*) FROM p WHERE cls = 2) AS ground,
-(SELECT count(*) FROM p) / 4096.0::double AS density, (SELECT min(v) FROM s) AS low, (SELECT max(v) FROM s) AS high, floor(avg({_SLOPE}) * 1e6 + 0.5) / 1e6 AS mean_slope_deg FROM q""",
+    f"""{GRADIENT}, {FLAGSHIP.removeprefix(POINTS).lstrip(", ")} SELECT (SELECT count(*) FROM p) AS points_total, (SELECT count(*) FROM p WHERE cls IN (7, 18)) AS points_noise, (SELECT count(*) FROM p WHERE cls = 2) AS points_ground,
+(SELECT min(v) FROM s) AS low, (SELECT max(v) FROM s) AS high, (SELECT max(v) - min(v) FROM s) AS relief_m, floor(avg({_SLOPE}) * 1e6 + 0.5) / 1e6 AS mean_slope_deg,
+(SELECT count(*) FROM p WHERE cls NOT IN (7, 18)) / 4096.0::double AS point_density_per_m2, (SELECT count(*) FROM p WHERE cls = 2) / 4096.0::double AS ground_density_per_m2, (SELECT string_agg(name, ',' ORDER BY code) FROM a WHERE treatment) AS treatment_classes,
+(SELECT floor(sum(CASE WHEN woody THEN cells * 1.0::double / 4046.8564224::double END) * 1e6 + 0.5) / 1e6 FROM a) AS woody_acres, 0::bigint AS channel_reaches FROM q""",
 )
 def site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = gradient(spark, sf_dir).agg(F.count("*").alias("cells"), F.min("v").alias("low"), F.max("v").alias("high"), micro(F.avg(terrain.slope_degrees())).alias("mean_slope_deg"))
-    cloud = points(spark, sf_dir).agg(F.count("*").alias("points"), F.count_if(noise_mask()).alias("noise"), F.count_if(F.col("classification") == 2).alias("ground"))
-    joined = cells.withColumn("one", F.lit(1)).join(cloud.withColumn("one", F.lit(1)), "one").drop("one")
-    return joined.withColumn("density", F.col("points") / F.lit(float(GRID.n_cells)))
+    """Of the whole set of scalars those that the lattice and its points determine."""
+    nothing = {"chm": F.lit(0.0), "acc": F.lit(1).cast("long"), "sink_depth": F.lit(0.0), "stream_order": F.lit(0)}
+    cells = gradient(spark, sf_dir).withColumn("slope", terrain.slope_degrees()).withColumnRenamed("v", "dem").withColumns(nothing)
+    cloud = points(spark, sf_dir).withColumn("is_ground", F.col("classification") == 2)
+    areas = classes.class_areas(flagship(spark, sf_dir), CLASSES, GRID.cell_area_m2)
+    reaches = spark.createDataFrame([], "length_m double")
+    found = pipeline.site_stats(cloud, cells, reaches, areas, GRID, PipelineParams(), "existing", 0.0)
+    return found.select(
+        "points_total", "points_noise", "points_ground", F.col("elevation_min_m").alias("low"), F.col("elevation_max_m").alias("high"), "relief_m", micro(F.col("slope_mean_deg")).alias("mean_slope_deg"),
+        "point_density_per_m2", "ground_density_per_m2", F.array_join("treatment_classes", ",").alias("treatment_classes"), micro(F.col("woody_acres")).alias("woody_acres"), "channel_reaches",
+    )
+
+
+_SHADES = ", ".join(str([int(c[1 + 2 * i : 3 + 2 * i], 16) / 255.0 for c in terrain.ELEVATION_COLORS]) + f" AS ramp_{name}" for i, name in enumerate(("red", "green", "blue")))
+
+
+@query(
+    "shaded_color",
+    f"""{GRADIENT}, sh AS (SELECT q.cell, greatest(0.0::double, least(1.0::double, ({math.sin(_AL)!r}::double - {math.cos(_AL) * math.sin(_AZ)!r}::double * dx - {math.cos(_AL) * math.cos(_AZ)!r}::double * dy) / sqrt(1.0::double + dx * dx + dy * dy))) AS shade FROM q),
+t AS (SELECT s.cell, 0.45::double + 0.55::double * shade AS light, (v - min(v) OVER ()) / greatest(max(v) OVER () - min(v) OVER (), 1e-9) * 3 AS share FROM s JOIN sh ON s.cell = sh.cell),
+w AS (SELECT *, least(cast(floor(share) AS integer), 2) AS b FROM t), c AS (SELECT {_SHADES})
+SELECT cell, """
+    + ", ".join(f"floor(greatest(0.0::double, least(1.0::double, (ramp_{n}[b + 1]::double + (ramp_{n}[b + 2]::double - ramp_{n}[b + 1]::double) * (share - b)) * light)) * 1e6 + 0.5) / 1e6 AS {n}" for n in ("red", "green", "blue"))
+    + " FROM w, c",
+)
+def shaded_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = terrain.shaded_color(gradient(spark, sf_dir).withColumn("hillshade", terrain.hillshade(HillshadeParams())), "v")
+    return found.select("cell", *(micro(F.col(c)).alias(c) for c in ("red", "green", "blue")))
+
+
+@query("local_meters", f"{POINTS} SELECT l_orderkey, l_linenumber, (col + 0.5) * 2.0::double AS east_m, (63.5 - row) * 2.0::double AS north_m FROM p")
+def local_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets from the south-west corner, of a lattice whose unit is two meters."""
+    east, north = Grid(0.0, float(SIDE), 1.0, SIDE, SIDE, None, 2.0).local_meters()
+    return points(spark, sf_dir).select("l_orderkey", "l_linenumber", east.alias("east_m"), north.alias("north_m"))
+
+
+#: Slanted edges, and a triangle as a hole.
+SLANTED = ((8.3, 3.1), (55.7, 20.4), (40.2, 58.6), (3.9, 33.2), (8.3, 3.1))
+SLANTED_HOLE = ((20.1, 20.2), (35.4, 25.3), (24.6, 40.7), (20.1, 20.2))
+
+
+def _odd(*rings: tuple[tuple[float, float], ...]) -> str:
+    """SQL: whether a cell's center is inside an odd number of rings, by the edges that its line eastward crosses."""
+    edges = [(a, b) for ring in rings for a, b in zip(ring, ring[1:], strict=False)]
+    crossed = (f"(({y1} > 63.5 - row) <> ({y2} > 63.5 - row) AND col + 0.5 < ({x2 - x1!r}::double) * (63.5 - row - {y1}) / {y2 - y1!r}::double + {x1})::int" for (x1, y1), (x2, y2) in edges)
+    return f"({' + '.join(crossed)}) % 2 = 1"
+
+
+@query("zone_slanted", f"{POINTS} SELECT cell, cast(CASE WHEN {_odd(SLANTED, SLANTED_HOLE)} THEN 1 END AS integer) AS zone_id FROM d")
+def zone_slanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = zones.zone_table(spark, [zones.Zone(1, "Slanted", ((SLANTED, SLANTED_HOLE),))])
+    return zones.rasterize_zones(raster.domain(spark, GRID), table, GRID).select("cell", "zone_id")
