@@ -38,7 +38,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Sampled texts and shingles held as common; the most sets that are paired at once; sets a round, and pairs that a round gives at most (of one set, all).
 SAMPLE, COMMON, SMALL, REPS, MOST = 4_000, 100_000, 32, 32, 1_000_000
 #: More pairs than these are checked in two turns.
-TRIED = 1_000
+TRIED = 50_000
 #: Shingles a bucket, about, and the fewest buckets.
 CROWD, BUCKETS = 8, 64
 
@@ -72,6 +72,13 @@ def enough(both: int, n: int, m: int, similar: float) -> bool:
     return both >= similar * (n + m - both) - 1e-9
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that hold few texts."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            yield batch.slice(lo, 512)
+
+
 def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that several texts of a sample share, sorted, and in how many."""
 
@@ -91,7 +98,7 @@ def _read(size: int, similar: float, common: tuple[np.ndarray, np.ndarray]) -> C
     tokens, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             nodes, sizes, fps, tallies, prefixes = [], [], [], [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), size)
@@ -160,14 +167,14 @@ def _shared(similar: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     return run
 
 
-def _round(similar: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _round(similar: float, reps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Pairs of a few sets of a shingle with all sets of other components, and the rows that are left for later rounds."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         names, label, sizes = np.unique(frame["comp"].to_numpy(), return_inverse=True, return_counts=True)
         others = np.flatnonzero(label != sizes.argmax())
-        reps = max(1, min(REPS, len(others), MOST // len(frame)))
-        chosen = others[np.unique(np.linspace(0, len(others) - 1, reps).astype(int))] if len(others) else others
+        n = max(1, min(reps, len(others), MOST // len(frame)))
+        chosen = others[np.unique(np.linspace(0, len(others) - 1, n).astype(int))] if len(others) else others
         left, right = np.repeat(chosen, len(frame)), np.tile(np.arange(len(frame)), len(chosen))
         apart = label[left] != label[right]
         pairs = _pairs(frame, left[apart], right[apart], similar)
@@ -209,23 +216,16 @@ class _Search:
         size, similar = self.size, self.similar
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _small(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "members"])
 
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                near = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    left, right = x.values.to_numpy(), y.values.to_numpy()
-                    near.append(enough(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), similar))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
         named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = self.sets.select("node", "text_hash").join(named, "node")
         wanted = F.broadcast(wanted) if 2 * n <= FEW else wanted
         whole = cut(self.texts.join(wanted, "text_hash").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, members array<long>"))
         left, right = (whole.select(F.col("node").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long"))
+        both, sizes = F.size(F.array_intersect("ma", "mb")), F.size("ma") + F.size("mb")
+        return cut(pairs.join(left, "a").join(right, "b").where(both >= F.lit(similar) * (sizes - both) - F.lit(1e-9)).select("a", "b"))
 
     def _link(self, pairs: DataFrame, n: int) -> None:
         edges = self._similar(pairs, n)
@@ -268,12 +268,14 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILA
     dealt = dealt.select("token", "id", "n", F.expr("if(at = 0, id, prefix[greatest(at - 1, 0)])").alias("prev"))
     out = cut(dealt.repartition("token").sortWithinPartitions("token").mapInPandas(_shared(similar), PAIRS))
     search.add(same.unionByName(close).unionByName(out.where("a IS NOT NULL").select("a", "b")))
+    reps = REPS
     while True:
         many = out.where("token IS NOT NULL").select("token", "id", "n", "prev")
         if many.isEmpty():
             break
-        out = cut(search.rooted(many, "id", "comp").select("token", "id", "n", "prev", "comp").groupBy("token").applyInPandas(_round(similar), PAIRS))
+        out = cut(search.rooted(many, "id", "comp").select("token", "id", "n", "prev", "comp").groupBy("token").applyInPandas(_round(similar, reps), PAIRS))
         search.add(out.where("a IS NOT NULL").select("a", "b"))
+        reps *= 8  # what the first few don't bring together has to be compared anyway
     # Rows are kept or left out by their keys; whole documents are dealt only where they repeat.
     placed = search.rooted(rows.select("doc_id", "text_hash", "node"), "node", "root").groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("times"))
     known = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
