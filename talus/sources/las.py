@@ -1,4 +1,4 @@
-"""Uncompressed LAS as a Spark data source, and its writer.
+"""LAS as a Spark data source, and its writer; compressed files where a codec is installed.
 
 ``spark.read.format("las")`` makes a partition of each range of points of each
 file; tiles whose header bounds lie outside the ``bbox`` option are never opened
@@ -8,6 +8,7 @@ further, and the crop is applied to each range as it is read.
 from __future__ import annotations
 
 import glob
+import importlib.util
 import math
 import os
 import struct
@@ -45,6 +46,7 @@ class Header:
     mins: tuple[float, float, float]
     maxs: tuple[float, float, float]
     crs: str | None
+    packed: bool = False
 
 
 def read_header(path: str) -> Header:
@@ -63,11 +65,13 @@ def read_header(path: str) -> Header:
             records = f.read(offset - size)
     except (OSError, struct.error, IndexError) as e:
         raise InputDataError(f"can't read {path}: {e}") from e
-    if kind & 0x80 or path.lower().endswith(".laz"):
-        raise MissingDependencyError(f"{path} is compressed; no LAZ codec is installed")
+    packed = bool(kind & 0x80) or path.lower().endswith(".laz")
+    kind &= 0x3F
+    if packed and importlib.util.find_spec("laspy") is None:
+        raise MissingDependencyError(f"{path} is compressed; reading it takes laspy with a LAZ codec")
     if kind not in FORMATS:
         raise InputDataError(f"{path} has point format {kind}, which is unknown")
-    return Header(path, (major, minor), offset, kind, length, count, scale, shift, (x0, y0, z0), (x1, y1, z1), records_crs(records, n_records))
+    return Header(path, (major, minor), offset, kind, length, count, scale, shift, (x0, y0, z0), (x1, y1, z1), records_crs(records, n_records), packed)
 
 
 def records_crs(data: bytes, n: int) -> str | None:
@@ -97,6 +101,19 @@ class Range(InputPartition):
     n: int
 
 
+#: A point of format 6.
+RECORD6 = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("class", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8")])
+
+
+def unpacked(header: Header, first: int, n: int) -> np.ndarray:
+    """Raw records of a compressed file, by the codec that is installed."""
+    import laspy
+
+    with laspy.open(header.path) as reader:
+        reader.seek(first)
+        return np.frombuffer(reader.read_points(n).array.tobytes(), np.uint8).reshape(-1, header.length)
+
+
 class LasReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.paths = expand(options.get("path", "").split(","))
@@ -115,9 +132,12 @@ class LasReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         assert isinstance(partition, Range)
         h = partition.header
-        with open(h.path, "rb") as f:
-            f.seek(h.offset + partition.first * h.length)
-            raw = np.frombuffer(f.read(partition.n * h.length), np.uint8).reshape(-1, h.length)
+        if h.packed:
+            raw = unpacked(h, partition.first, partition.n)
+        else:
+            with open(h.path, "rb") as f:
+                f.seek(h.offset + partition.first * h.length)
+                raw = np.frombuffer(f.read(partition.n * h.length), np.uint8).reshape(-1, h.length)
         xyz = raw[:, :12].copy().view("<i4").reshape(-1, 3) * np.array(h.scale) + np.array(h.shift)
         _, place, mask = FORMATS[h.point_format]
         classes = raw[:, place] & mask
@@ -201,11 +221,21 @@ def write_las(cloud: PointCloud, path: str | Path) -> None:
     head = struct.pack("<4sHHLHH8sBB32s32sHHHLLBHL5L", b"LASF", 0, 16, 0, 0, 0, b"", 1, 4, b"talus", b"talus", 1, 2024, 375, offset, 1, 6, 30, 0, *[0] * 5)
     head += struct.pack("<12d", scale, scale, scale, *shift, low[3], low[0], low[4], low[1], low[5], low[2])
     head += struct.pack("<QQLQ15Q", 0, 0, 0, count, count, *[0] * 14)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, RECORD6)
+            for k, axis in enumerate("xyz"):
+                out[axis] = np.rint((batch.column(k).to_numpy() - shift[k]) / scale)
+            out["returns"], out["class"] = 0x11, batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["records"])
+
+    points = cloud.points.select(*(F.col(c).cast("double") for c in "xyz"), F.col("classification").cast("int"))
     with open(path, "wb") as f:
         f.write(head + record)
-        # Written by one process, a partition at a time.
-        for rows in cloud.points.select("x", "y", "z", F.col("classification").cast("int")).toLocalIterator(prefetchPartitions=True):
-            f.write(struct.pack("<3lHBBBBhHd", *(round((rows[k] - shift[k]) / scale) for k in range(3)), 0, 0x11, 0, rows[3], 0, 0, 0, 0.0))
+        # Packed by the tasks; the file is one, so its parts pass through the driver, a partition at a time.
+        for row in points.mapInArrow(packed, "records binary").toLocalIterator(prefetchPartitions=True):
+            f.write(row["records"])
 
 
 def sources(points: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import InputDataError
 from ..functions.crs import epsg
@@ -16,6 +20,38 @@ from ..model import Grid
 TYPES = {"uint8": (8, 1), "int16": (16, 2), "int32": (32, 2), "float32": (32, 3), "float64": (64, 3)}
 KINDS = {v: k for k, v in TYPES.items()}
 ROWS = 64
+#: Rasters of more cells are written as several files, each by the task that has its cells.
+ONE_FILE, TILE = 1 << 24, 4096
+
+
+def unlzw(data: bytes) -> bytes:
+    """Bytes of a strip or tile packed by TIFF's LZW: codes of 9 to 12 bits, most significant bit first."""
+    clear, end = 256, 257
+    out = bytearray()
+    table: list[bytes] = []
+    before, bits, held, n = b"", 9, 0, 0
+    for byte in data:
+        held, n = held << 8 | byte, n + 8
+        if n < bits:
+            continue
+        n -= bits
+        code, held = held >> n, held & (1 << n) - 1
+        if code == end:
+            break
+        if code == clear:
+            table, before, bits = [bytes([i]) for i in range(256)] + [b"", b""], b"", 9
+            continue
+        if not table:
+            raise InputDataError("an LZW strip doesn't begin with a clear code")
+        if code > len(table) or code == len(table) and not before:
+            raise InputDataError("damaged LZW data")
+        piece = table[code] if code < len(table) else before + before[:1]
+        out += piece
+        if before:
+            table.append(before + piece[:1])
+        before = piece
+        bits = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12  # a code early
+    return bytes(out)
 
 
 def write_geotiff(path: str | Path, data: np.ndarray, grid: Grid, dtype: str = "float32", nodata: float | None = None, description: str = "") -> None:
@@ -57,7 +93,7 @@ def write_geotiff(path: str | Path, data: np.ndarray, grid: Grid, dtype: str = "
 
 
 def read_geotiff(path: str | Path) -> tuple[np.ndarray, Grid]:
-    """A band written as above, no data as NaN, and its grid."""
+    """A little-endian band in strips or tiles, plain or packed by deflate or LZW; no data as NaN, and its grid."""
     try:
         raw = Path(path).read_bytes()
     except OSError as e:
@@ -74,12 +110,23 @@ def read_geotiff(path: str | Path) -> tuple[np.ndarray, Grid]:
         found[tag] = part.rstrip(b"\0").decode() if kind == 2 else struct.unpack(f"<{count}{code}", part)
     width, height = found[256][0], found[257][0]
     dtype = KINDS[found[258][0], found.get(339, (1,))[0]]
-    if found[259][0] not in (1, 8, 32946):
-        raise InputDataError("only plain and deflate-compressed strips can be read")
-    parts = [raw[o : o + n] for o, n in zip(found[273], found[279], strict=True)]
-    if found[259][0] != 1:
-        parts = [zlib.decompress(p) for p in parts]
-    data = np.frombuffer(b"".join(parts), np.dtype(dtype).newbyteorder("<")).reshape(height, width)
+    unpack = {1: bytes, 5: unlzw, 8: zlib.decompress, 32946: zlib.decompress}.get(found[259][0])
+    predictor = found.get(317, (1,))[0]
+    if unpack is None or predictor not in (1, 2) or found.get(277, (1,))[0] != 1:
+        raise InputDataError("only single bands, plain or packed by deflate or LZW, can be read")
+    # Strips are tiles as wide as the raster.
+    wide, high = (found[322][0], found[323][0]) if 324 in found else (width, found.get(278, (height,))[0])
+    starts, sizes = (found[324], found[325]) if 324 in found else (found[273], found[279])
+    across, kind = -(-width // wide), np.dtype(dtype).newbyteorder("<")
+    data = np.zeros((-(-height // high) * high, across * wide), kind)
+    for k, (o, n) in enumerate(zip(starts, sizes, strict=True)):
+        part = np.frombuffer(unpack(raw[o : o + n]), kind)
+        part = part[: len(part) // wide * wide].reshape(-1, wide)[:high]
+        if predictor == 2:
+            part = np.cumsum(part, axis=1, dtype=kind)
+        r, c = k // across * high, k % across * wide
+        data[r : r + len(part), c : c + wide] = part
+    data = data[:height, :width]
     if 42113 in found:
         data = np.where(data == float(found[42113]), np.nan, data.astype(float))
     keys = found.get(34735, ())
@@ -90,6 +137,34 @@ def read_geotiff(path: str | Path) -> tuple[np.ndarray, Grid]:
     return data, Grid(found[33922][3], found[33922][4], res, width, height, f"EPSG:{code}" if code else None, meters)
 
 
+def write_raster(cells: DataFrame, value: Column, grid: Grid, path: str | Path, dtype: str = "float32", nodata: float | None = None, description: str = "", one_file: int = ONE_FILE, tile: int = TILE) -> None:
+    """A layer as one GeoTIFF; of more than ``one_file`` cells, as a folder of them, ``row_col.tif``, written by the tasks.
+
+    The folder has to be one that executors share.
+    """
+    layer = cells.select("row", "col", value.cast("double").alias("v"))
+    if grid.n_cells <= one_file:
+        write_geotiff(path, to_array(layer, grid, "v"), grid, dtype, nodata, description)
+        return
+    folder = Path(path).with_suffix("")
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(key[0]) * tile, int(key[1]) * tile
+        x, y = grid.corner(r0, c0)
+        part = Grid(x, y, grid.res, min(tile, grid.width - c0), min(tile, grid.height - r0), grid.crs, grid.meters_per_unit)
+        data = np.full(part.shape, np.nan)
+        data[frame["row"] - r0, frame["col"] - c0] = frame["v"].to_numpy(float)
+        folder.mkdir(parents=True, exist_ok=True)
+        name = f"{key[0]}_{key[1]}.tif"
+        half = folder / f".{name}.{uuid.uuid4().hex}"  # a task that is repeated replaces the file whole
+        write_geotiff(half, data, part, dtype, nodata, description)
+        os.replace(half, folder / name)
+        return pd.DataFrame({"name": [name]})
+
+    keyed = layer.withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
+    keyed.groupBy("tr", "tc").applyInPandas(run, "name string").count()
+
+
 def to_array(cells: DataFrame, grid: Grid, value: str) -> np.ndarray:
     """A layer as an array on the driver: for files of a single raster, whose size the grid bounds."""
     out = np.full(grid.shape, np.nan)
@@ -100,10 +175,6 @@ def to_array(cells: DataFrame, grid: Grid, value: str) -> np.ndarray:
 
 def from_array(spark: SparkSession, data: np.ndarray, grid: Grid, value: str = "v") -> DataFrame:
     """An array as a dense raster, NaN as null."""
-    import pandas as pd
-
     rows, cols = np.divmod(np.arange(grid.n_cells), grid.width)
     frame = pd.DataFrame({"cell": np.arange(grid.n_cells), "row": rows.astype(np.int32), "col": cols.astype(np.int32), "v": data.ravel().astype(float)})
-    from pyspark.sql import functions as F
-
     return spark.createDataFrame(frame).select("cell", "row", "col", F.nanvl(F.col("v"), F.lit(None)).alias(value))

@@ -2,7 +2,9 @@
 
 import io
 import json
+import struct
 import zipfile
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 from talus.cli import build_parser, main, slug
 from talus.errors import DownloadError, InputDataError, MissingDependencyError
 from talus.model import Grid, PointCloud
+from talus.operators import raster
 from talus.plans.workflows import run_demo
+from talus.sinks import maps
 from talus.sources import catalog, las, tiff
 from talus.sources.synth import SceneParams, make_scene
 from talus.streaming.cells import start
@@ -69,6 +73,105 @@ def test_tiles_are_parsed_chosen_and_fetched(spark, tmp_path):
     assert untitled.select(catalog.project_of(F.col("u"), F.col("t"))).first()[0] == "Some Site"
 
 
+def lzw(data):
+    """TIFF's LZW, the plain way: a clear code, then codes of growing width, one early."""
+    bits, out, width = "", [], 9
+    table = {bytes([i]): i for i in range(256)}
+    n, word = 258, b""
+    bits += f"{256:09b}"
+    for byte in data:
+        longer = word + bytes([byte])
+        if longer in table:
+            word = longer
+            continue
+        bits += f"{table[word]:0{width}b}"
+        table[longer] = n
+        n += 1
+        if n == 4095:
+            bits += f"{256:012b}"
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+        elif n == 1 << width:
+            width += 1
+        word = bytes([byte])
+    if word:
+        bits += f"{table[word]:0{width}b}"
+        width += n + 1 == 1 << width < 4096
+    bits += f"{257:0{width}b}"
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def test_scale_bars_have_round_lengths():
+    assert [maps.nice_length(x) for x in (100, 400, 1000, 37, 2600, 0.4)] == [20, 100, 200, 5, 500, pytest.approx(0.1)]
+
+
+def test_rasters_are_brought_to_a_bounded_size(spark):
+    g = Grid(0.0, 7.0, 1.0, 10, 7)
+    cells = tiff.from_array(spark, np.arange(70.0).reshape(7, 10), g)
+    found, coarse = raster.reduced(cells, g, 4, v=F.max("v"))
+    assert (coarse.shape, coarse.res, coarse.bounds) == ((3, 4), 3.0, (0.0, -2.0, 12.0, 7.0))
+    assert tiff.to_array(found, coarse, "v").tolist() == [[22, 25, 28, 29], [52, 55, 58, 59], [62, 65, 68, 69]]
+    assert raster.reduced(cells, g, 10, v=F.max("v"))[1] == g
+
+
+def test_lzw_is_unpacked():
+    rng = np.random.default_rng(3)
+    for data in (b"", b"a", b"ab" * 500, bytes(rng.integers(0, 256, 20_000, dtype=np.uint8)), bytes(rng.integers(0, 3, 60_000, dtype=np.uint8))):
+        assert tiff.unlzw(lzw(data)) == data
+
+
+def tiled(path, data, side, predictor):
+    """A GeoTIFF as other programs write it: LZW in tiles."""
+    height, width = data.shape
+    down, across = -(-height // side), -(-width // side)
+    whole = np.zeros((down * side, across * side), data.dtype)
+    whole[:height, :width] = data
+    parts = []
+    for r in range(down):
+        for c in range(across):
+            part = whole[r * side : (r + 1) * side, c * side : (c + 1) * side]
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=np.zeros((side, 1), data.dtype))
+            parts.append(lzw(part.astype(data.dtype).tobytes()))
+    tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [data.dtype.itemsize * 8]), (259, 3, [5]), (277, 3, [1]), (317, 3, [predictor]), (322, 3, [side]), (323, 3, [side]), (324, 4, None), (325, 4, [len(p) for p in parts]), (339, 3, [3 if data.dtype.kind == "f" else 1]), (33550, 12, [2.0, 2.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 100.0, 200.0, 0.0])]
+    at = 8 + np.cumsum([0] + [len(p) for p in parts])
+    tags[8] = (324, 4, at[:-1].tolist())
+    start, extra, entries = int(at[-1]), b"", b""
+    for tag, kind, values in tags:
+        packed = struct.pack(f"<{len(values)}{ {3: 'H', 4: 'L', 12: 'd'}[kind]}", *values)
+        entries += struct.pack("<HHL", tag, kind, len(values))
+        entries += packed.ljust(4, b"\0") if len(packed) <= 4 else struct.pack("<L", start + 6 + 12 * len(tags) + len(extra))
+        extra += packed if len(packed) > 4 else b""
+    path.write_bytes(struct.pack("<2sHL", b"II", 42, start) + b"".join(parts) + struct.pack("<H", len(tags)) + entries + b"\0" * 4 + extra)
+
+
+def test_tiles_packed_by_lzw_are_read(tmp_path):
+    rng = np.random.default_rng(4)
+    for data, predictor in ((rng.normal(size=(37, 50)).astype("<f4"), 1), (rng.integers(0, 255, (37, 50)).astype("u1"), 2)):
+        tiled(tmp_path / "a.tif", data, 16, predictor)
+        found, grid = tiff.read_geotiff(tmp_path / "a.tif")
+        assert (found == data).all() and (grid.x0, grid.y1, grid.res, grid.shape) == (100.0, 200.0, 2.0, data.shape)
+
+
+def test_large_rasters_are_written_by_their_tasks(spark, tmp_path):
+    data = np.random.default_rng(5).normal(size=(30, 45)).round(3)
+    data[3, 4] = np.nan
+    g = Grid(1000.0, 2030.0, 1.0, 45, 30, "EPSG:32631")
+    cells = tiff.from_array(spark, data, g)
+    tiff.write_raster(cells, F.col("v"), g, tmp_path / "one.tif", "float64", -9999.0)
+    tiff.write_raster(cells, F.col("v"), g, tmp_path / "many.tif", "float64", -9999.0, one_file=100, tile=16)
+    whole, grid = tiff.read_geotiff(tmp_path / "one.tif")
+    assert np.array_equal(whole, data, equal_nan=True) and grid.bounds == g.bounds
+    parts = sorted((tmp_path / "many").iterdir())
+    assert len(parts) == 6
+    again = np.full(g.shape, np.nan)
+    for part in parts:
+        values, at = tiff.read_geotiff(part)
+        r, c = int(g.y1 - at.y1), int(at.x0 - g.x0)
+        again[r : r + at.height, c : c + at.width] = values
+    assert np.array_equal(again, data, equal_nan=True)
+
+
 def test_las_there_and_back(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [(*map(float, p), int(c)) for p, c in zip(rng.uniform((166_600, 1000, 300), (166_650, 1050, 305), (400, 3)).round(3), rng.choice([1, 2, 7], 400), strict=True)]
@@ -116,6 +219,16 @@ def test_a_demonstration_passes_its_checks_and_writes_everything(spark, tmp_path
     assert "Validation" in (tmp_path / "report.md").read_text() and "<table>" in (tmp_path / "report.html").read_text()
     lines = json.loads((tmp_path / "vectors/drainage_lines.geojson").read_text())["features"]
     assert lines and lines[0]["properties"]["reach_id"] == 1
+    plates = {p.stem: ElementTree.parse(p).getroot() for p in (tmp_path / "maps").iterdir()}
+    assert sorted(plates) == ["canopy", "hydrology", "overview", "slope", "terrain", "vegetation"]
+    svg = "{http://www.w3.org/2000/svg}"
+    for name, plate in plates.items():
+        texts = [t.text for t in plate.iter(f"{svg}text")]
+        assert len(list(plate.iter(f"{svg}image"))) == 1 and {"N", "20 m"} <= set(texts)
+        assert len(list(plate.iter(f"{svg}polyline"))) == (len(lines) if name in ("hydrology", "overview", "terrain") else 0)
+        assert len(list(plate.iter(f"{svg}polygon"))) == (3 if name in ("vegetation", "overview") else 0)
+        if name == "slope":
+            assert [t.split(":")[0] for t in texts if "degrees" in t] == ["0-5 degrees", "5-10 degrees", "10-20 degrees", ">20 degrees"]
 
 
 def test_scenes_repeat(spark):

@@ -379,6 +379,36 @@ def test_projection_goes_there_and_back(spark):
     assert 570 < e - w < 590 and 550 < n - s < 565
 
 
+LCC = 'PROJCS["x",GEOGCS["NAD27",SPHEROID["Clarke 1866",6378206.4,294.978698214]],PROJECTION["Lambert_Conformal_Conic_2SP"],PARAMETER["standard_parallel_1",{a}],PARAMETER["standard_parallel_2",{b}],PARAMETER["latitude_of_origin",{o}],PARAMETER["central_meridian",{m}],PARAMETER["false_easting",{e}],PARAMETER["false_northing",{n}],UNIT["{u}",{k}]]'
+
+
+def test_other_projections_go_there_and_back(spark):
+    texas = LCC.format(a=30.11666666666667, b=31.88333333333333, o=29.66666666666667, m=-100.3333333333333, e=2296583.333, n=9842500.0, u="US survey foot", k=0.3048006096012192)
+    plane = 'PROJCS["NAD83 / Florida East",PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",24.33333333333333],PARAMETER["central_meridian",-81],PARAMETER["scale_factor",0.999941177],PARAMETER["false_easting",200000],PARAMETER["false_northing",0],UNIT["metre",1]]'
+    new = 'PROJCRS["x",CONVERSION["y",METHOD["Lambert Conic Conformal (1SP)"],PARAMETER["Latitude of natural origin",18],PARAMETER["Longitude of natural origin",-77],PARAMETER["Scale factor at natural origin",1],PARAMETER["False easting",250000],PARAMETER["False northing",150000]],LENGTHUNIT["metre",1]]'
+    for system, lon, lat in ((texas, -97.7, 30.3), (plane, -81.3, 28.5), (new, -76.8, 18.1), ("EPSG:5070", -120.5, 47.1), ("EPSG:3338", -150.0, 61.2), ("EPSG:3034", 24.0, 60.0), ("EPSG:32733", 14.0, -22.0)):
+        x, y = crs.project_xy(lon, lat, system)
+        assert crs.unproject_xy(x, y, system) == pytest.approx((lon, lat), abs=6e-9), system  # less than a millimeter
+        a, b = crs.project(F.lit(lon), F.lit(lat), system)
+        c, d = crs.unproject(F.lit(x), F.lit(y), system)
+        assert tuple(spark.range(1).select(a, b, c, d).first()) == pytest.approx((x, y, lon, lat), abs=1e-6)
+    # Places where the answer is known: a false origin, and scale along a standard parallel.
+    assert crs.project_xy(-100.3333333333333, 29.66666666666667, texas) == pytest.approx((2296583.333, 9842500.0), abs=1e-3)
+    assert crs.project_xy(-81.0, 24.33333333333333, plane) == pytest.approx((200_000.0, 0.0), abs=1e-6)
+    assert crs.project_xy(-96.0, 23.0, "EPSG:5070") == pytest.approx((0.0, 0.0), abs=1e-6)
+    sine = math.sin(math.radians(45.5))
+    arc = math.radians(1e-4) * 6378137 * math.cos(math.radians(45.5)) / math.sqrt(1 - 0.00669438 * sine * sine)
+    (x0, y0), (x1, y1) = crs.project_xy(-96.0, 45.5, "EPSG:5070"), crs.project_xy(-95.9999, 45.5, "EPSG:5070")
+    assert math.hypot(x1 - x0, y1 - y0) == pytest.approx(arc, rel=1e-6)
+    box = [crs.project_xy(lon, lat, "EPSG:5070") for lon, lat in ((-110, 40), (-109.999, 40), (-109.999, 40.001), (-110, 40.001))]
+    area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(box, box[1:] + box[:1], strict=True))) / 2
+    m = lambda lat: crs._area(math.sin(math.radians(lat)), crs.PLAIN)
+    assert area == pytest.approx(crs.A**2 / 2 * math.radians(0.001) * (m(40.001) - m(40)), rel=1e-5)
+    for bad in ("EPSG:27700", 'PROJCS["x",PROJECTION["Krovak"],UNIT["metre",1]]', 'PROJCS["x",PROJECTION["Albers_Conic_Equal_Area"],UNIT["metre",1]]'):
+        with pytest.raises(InputDataError):
+            crs.project_xy(0.0, 50.0, bad)
+
+
 def test_settings():
     assert load_demo_region_config().pipeline.ground.terrain_slope == 0.6
     assert parse_config("[other]\nx = 1").region is None
