@@ -6,6 +6,8 @@ Layers of one grid stay columns of one table, so that no join combines them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,12 @@ def sample(points: DataFrame, cells: DataFrame, grid: Grid, value: str = "v", in
 def block_max(cells: DataFrame, factor: int, value: str = "v") -> DataFrame:
     """Largest value of each block of factor x factor cells: row, col, v of the coarser raster."""
     return cells.groupBy(F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")).agg(F.max(value).alias(value))
+
+
+def reduced(cells: DataFrame, grid: Grid, most: int, **layers: Column) -> tuple[DataFrame, Grid]:
+    """Aggregates by blocks of cells, as many as bring the raster to at most ``most`` a side, and their grid."""
+    factor = max(1, math.ceil(max(grid.shape) / most))
+    height, width = (math.ceil(n / factor) for n in grid.shape)
+    coarse = Grid(grid.x0, grid.y1, grid.res * factor, width, height, grid.crs, grid.meters_per_unit)
+    found = cells.groupBy(F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")).agg(*(c.alias(n) for n, c in layers.items()))
+    return found.withColumn("cell", F.col("row").cast("long") * width + F.col("col")), coarse

@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 from ..config import Config
 from ..model import HydrologyParams, PipelineParams
 from ..operators.zones import read_feature_collection
-from ..sinks import kmz, report, vectors
+from ..sinks import kmz, maps, report, vectors
 from ..sources.las import read_las
 from ..sources.synth import SceneParams, make_scene
-from ..sources.tiff import to_array, write_geotiff
+from ..sources.tiff import write_raster
 from .pipeline import Products, raster_layers, run_pipeline, write_cells
 from .validation import Check, Tolerances, validate
 
@@ -32,7 +32,7 @@ class DemoResult:
 
 
 def write_outputs(products: Products, out: str | Path, meta: report.RunMetadata, checks: list[Check] | None = None, rasters: bool = True) -> Path:
-    """Cells as Parquet, and for one site's reader GeoTIFF, GeoJSON, KMZ and reports."""
+    """Cells as Parquet, and for one site's reader GeoTIFF, GeoJSON, maps, KMZ and reports."""
     folder = Path(out)
     for name in ("vectors", "rasters"):
         (folder / name).mkdir(parents=True, exist_ok=True)
@@ -44,8 +44,8 @@ def write_outputs(products: Products, out: str | Path, meta: report.RunMetadata,
         vectors.write_geojson(folder / "vectors/zones_summary.geojson", zones)
     if rasters:
         for name, (column, dtype, nodata) in raster_layers(products).items():
-            data = to_array(products.cells.withColumn("_v", column), products.grid, "_v")
-            write_geotiff(folder / f"rasters/{name}.tif", data, products.grid, dtype, nodata, name)
+            write_raster(products.cells, column, products.grid, folder / f"rasters/{name}.tif", dtype, nodata, name)
+    maps.write_maps(folder / "maps", products, meta.title, meta.source)
     kmz.write_kmz(folder / "site.kmz", products, meta.title, meta.source, drainage, zones)
     summary = report.build_summary(products, meta, drainage, checks)
     report.write_summary_json(folder / "summary.json", summary)

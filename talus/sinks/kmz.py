@@ -14,12 +14,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.crs import project_xy, unproject_xy
+from ..lineage import cut
 from ..model import Grid
-from ..operators import classes, terrain
+from ..operators import classes, raster, terrain
 from ..plans.pipeline import Products
 from ..sources.tiff import to_array
 
-STAMP, ORDERS = (1980, 1, 1, 0, 0, 0), 4
+STAMP, ORDERS, PIXELS = (1980, 1, 1, 0, 0, 0), 4, 2048
 #: Colors of the ramps, from low to high.  Fixed values.
 RAMPS = {"dem": list(terrain.ELEVATION_COLORS), "log_area": ["#deebf7", "#6baed6", "#08306b"], "chm": ["#f7f7e8", "#a6cf8e", "#3c8a4b", "#12402a"], "slope": ["#fffbe6", "#f4a259", "#8c2f39"], "hillshade": ["#000000", "#ffffff"]}
 WATER = ["#9ecae1", "#6baed6", "#3182bd", "#08519c"]
@@ -94,8 +95,12 @@ def write_kmz(path: str | Path, products: Products, title: str, description: str
     layers = [("Elevation", "dem", "dem"), ("Canopy height", "chm", "chm"), ("Slope", "slope", "slope"), ("Hillshade", "hillshade", "hillshade"), ("Contributing area", "log_area", "log_area"), ("Vegetation class", "code", None)]
     floor = classes.woody_floor(products.classes)
     drawn = products.cells.select("row", "col", "dem", "slope", "hillshade", "code", F.when(F.col("chm") >= floor, F.col("chm")).alias("chm"), terrain.log_contributing_area(products.grid).alias("log_area"))
+    # On the executors, to pictures of bounded size.
+    taken = {c: F.mode(c, True) if c == "code" else F.max(c) if c in ("chm", "log_area") else F.avg(c) for _, c, _ in layers}
+    drawn, grid = raster.reduced(drawn, products.grid, PIXELS, **taken)
+    drawn = cut(drawn)
     for k, (name, column, colors) in enumerate(layers):
-        values, (w, s, e, n) = to_wgs84(to_array(drawn, products.grid, column), products.grid)
+        values, (w, s, e, n) = to_wgs84(to_array(drawn, grid, column), grid)
         if colors:
             image = ramp(values, RAMPS[colors])
         else:
