@@ -4,9 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
-import io
 import itertools
-import json
 import lzma
 import math
 import random
@@ -408,6 +406,9 @@ def test_url_rules_equal_brute_force(spark):
     hosts = ["example.com", "A.Example.COM", "com", "x.net", "example.net", "badexample.com", "www.example.org", "net.de", "é.com"]
     paths = ["/en/", "/en/7", "/en/71?q=/de/", "/de/8", "/de/81#x", "/es", "/es/", "", "/EN/", "?/en/", "#/en/"]
     links = [f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)] + [None, "", "no scheme/en/", "://", "http://", "a://b://c/en/"]
+    odd = [(None, links[0]), (None, None), (3, links[3]), (3, links[3])]  # null ids and rows that repeat
+    both = urls.filter_urls(spark.createDataFrame(odd, "page_id long, url string")).collect()
+    assert sorted(map(str, ((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in both))) == sorted(str((i, *plain_verdict(u))) for i, u in odd)
     table = spark.createDataFrame([(i, u) for i, u in enumerate(links)], "page_id long, url string").withColumns({"host": F.lit(1), "key": F.lit(2)})
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(table).collect()}
     assert got == {i: plain_verdict(u) for i, u in enumerate(links)}
@@ -465,6 +466,37 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.toxicity(empty(spark), none).count() == 0
 
 
+def test_trees_split_where_the_gain_is_largest():
+    rng = np.random.default_rng(13)
+    for _ in range(20):
+        x = rng.integers(0, 6, (80, 3)).astype(float)
+        y = (rng.random(80) < 0.2 + 0.6 * (x[:, 1] > rng.integers(1, 5))).astype(float)
+        model = toxicity.grow(x, y, rounds=1, depth=1, rate=1.0)
+        feature, cut, value = model.trees[0]
+        p = 1 / (1 + math.exp(-model.base))
+        g, h = p - y, np.full(80, p * (1 - p))
+        gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+        best = max(gain(x[:, j] <= c) + gain(x[:, j] > c) for j in range(3) for c in range(5))
+        left = x[:, feature[0]] <= cut[0]
+        assert gain(left) + gain(~left) == pytest.approx(best)
+        assert value[1] == pytest.approx(-g[left].sum() / (h[left].sum() + 1.0)) and value[2] == pytest.approx(-g[~left].sum() / (h[~left].sum() + 1.0))
+
+
+def test_the_lexicon_has_what_toxic_texts_have_more_often(spark):
+    rows = toxic_corpus(300)
+    table = spark.createDataFrame([(r[1], r[5]) for r in rows], "text string, toxic int")
+    found = toxicity._learn_lexicon(table)
+    n, bad = len(rows), sum(r[5] for r in rows)
+    of = {}
+    for r in rows:
+        words = set(r[1].split())
+        for entry in words | {w[:k] + "*" for w in words for k in toxicity.STEMS if len(w) >= k}:
+            t, m = of.get(entry, (0, 0))
+            of[entry] = (t + r[5], m + 1)
+    odds = {e: math.log((t + 0.5) / bad / ((m - t + 0.5) / (n - bad))) for e, (t, m) in of.items() if t >= toxicity.MIN_SUPPORT}
+    assert found == pytest.approx({e: x for e, x in odds.items() if x >= toxicity.MIN_LOG_ODDS}) and found
+
+
 def test_calibration_increases():
     places, chances = toxicity.isotonic(np.array([3.0, 1, 2, 2, 4, 0]), np.array([1.0, 0, 1, 0, 1, 1]))
     assert (np.diff(places) >= 0).all() and (np.diff(chances) >= 0).all() and chances[-1] == 1
@@ -829,27 +861,84 @@ def test_secrets_of_odd_tables(spark):
 # The pipeline
 
 
-def test_the_pipeline_keeps_what_it_should(spark, tmp_path):
-    rows = [r[:5] for r in toxic_corpus(600)]
-    toxic = [(r[0], r[5]) for r in toxic_corpus(600)]
+def near_groups(texts):
+    """For each text, the least place of those that similar sets of shingles link it with, by all pairs."""
+    sets = [set(nearcopies.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def write_tables(spark, base, rows, labels, items):
+    spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in CLASHES}).write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+
+
+def test_the_pipeline_equals_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [r[:5] for r in toxic_corpus(400)]
+    labels = [(r[0], r[0] % 2, r[5]) for r in toxic_corpus(400)]
     passage = " ".join(f"bench{i}" for i in range(14))
-    clean = " ".join(f"own{i}" for i in range(50))
-    rows += [(700, clean, "en", "s0", 1), (701, clean, "en", "s1", 1), (702, f"well {passage} done, or so it seems to them", "en", "s0", 1), (703, f"keep {KEY} " + " ".join(f"z{i}" for i in range(40)), "en", None, 1), (704, None, None, None, None)]
+    clean = [f"own{i}" for i in range(60)]
+    for k in range(6):  # copies of a text with more and more words of their own
+        words = list(clean)
+        for at in rng.sample(range(60), k):
+            words[at] = f"other{rng.randrange(999)}"
+        rows.append((700 + k, " ".join(words), "en", "s0", 1))
+    rows += [(720, f"well {passage} done, or so it seems to them", "en", "s0", 1), (721, f"only {passage[:60]} of it", "en", "s1", 1), (722, f"keep {KEY} {' '.join(f'z{i}' for i in range(40))}", "en", None, 1)]
+    rows += [(723, None, None, None, None), (724, "", "en", "s2", 0), (725, f"see {base64.b64encode(KEY.encode()).decode()} there", "en", "s2", 1), (None, "without an id of its own", "en", "s1", 1)]
+    items = [(1, passage), (2, "short item"), (3, None)]
     base = str(tmp_path)
-    spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in CLASHES}).write.parquet(f"{base}/documents.parquet")
-    spark.createDataFrame([(i, 1, t) for i, t in toxic], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
-    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
-    docs = spark.read.parquet(f"{base}/documents.parquet")
-    kept, texts = [], None
+    write_tables(spark, base, rows, labels, items)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    docs, seen = spark.read.parquet(f"{base}/documents.parquet"), []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         stage(spark, docs, base).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
-        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
-        kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
-    bad = {i for i, t in toxic if t}
-    assert len(kept[0] & bad) <= 0.05 * len(bad) and len(({i for i, _ in toxic} - bad) - kept[0]) <= 0.02 * len(toxic)
-    assert {700, 703, 704} <= kept[1] and 701 not in kept[1] and kept[2] == kept[1] - {702} and kept[3] == kept[2]
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert KEY not in texts[703] and texts[700] == clean
-    assert corpus_pipeline.run(spark, base).count() == len(kept[3])
-    assert json.dumps(1) and io.BytesIO()
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and set(CLASHES) <= set(docs.columns)
+        seen.append(sorted(((r["doc_id"], r["text"], r["source"], r["n_chars"]) for r in docs.collect()), key=key))
+    bad = {i for i, _, t in labels if t}
+    kept = {r[0] for r in seen[0]}
+    assert len(kept & bad) <= 0.05 * len(bad) and len(({i for i, *_ in labels} - bad) - kept) <= 0.02 * len(labels)
+    groups = near_groups([r[1] for r in seen[0]])
+    assert [r[0] for r in seen[1]] == [r[0] for i, r in enumerate(seen[0]) if groups[i] == i]
+    assert 700 in {r[0] for r in seen[1]} and len({r[0] for r in seen[1]} & set(range(700, 706))) < 6
+    hits = {r[0] for r in brute_hits([(r[0], r[1]) for r in seen[1]], items) if r[5]}
+    assert 720 in hits and [r[0] for r in seen[2]] == [r[0] for r in seen[1] if r[0] not in hits]
+    masked = [secrets.masked(r[1]) for r in seen[2]]
+    assert [r[1] for r in seen[3]] == masked and [r[3] for r in seen[3]] == [None if t is None else len(t) for t in masked]
+    assert not any(KEY in (t or "") for t in masked) and sum("[SECRET]" in (t or "") for t in masked) == 2
+    want = plain_mix([(r[0], r[2], r[1]) for r in seen[3]], {i: 1 + q for i, q, _ in labels})
+    got = [tuple(r) for r in corpus_pipeline.run(spark, base).collect()]
+    first = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(got, key=first) == sorted(((d if d >= 0 else None, *rest) for d, *rest in want), key=first)
+
+
+def test_the_pipeline_takes_odd_tables(spark, tmp_path):
+    base = str(tmp_path / "empty")
+    write_tables(spark, base, [], [], [])
+    assert corpus_pipeline.run(spark, base).count() == 0
+    base = str(tmp_path / "odd")
+    tie = "a text that several ids have, word for word, in the one table"
+    rows = [(5, tie, "en", "a", 1)] * 3 + [(4, tie, "en", "a", 1), (None, tie, "en", "a", 1), (None, None, None, None, None), (None, None, None, None, None), (7, "x " * 50_000 + KEY, "en", "b", 1), (8, "", None, None, 0)]
+    write_tables(spark, base, rows, [(4, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None)], [(None, None), (1, ""), (1, "word")])
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    by = {name: stage for name, stage in corpus_pipeline.STAGES}
+    assert by["toxicity"](spark, docs, base).count() == len(rows)
+    once = sorted(str(r["doc_id"]) for r in by["near duplicates"](spark, docs, base).collect())
+    assert once == ["4", "7", "8"]  # a null text is a copy of the empty one
+    assert sorted(str(r["doc_id"]) for r in by["benchmark decontamination"](spark, docs, base).collect()) == ["7", "8", "None", "None"]  # those without the word
+    hidden = by["secret scans"](spark, docs, base).collect()
+    assert len(hidden) == len(rows) and not any(KEY in (r["text"] or "") for r in hidden)
+    assert by["mixing"](spark, docs, base).count() == len(rows)
+    assert corpus_pipeline.run(spark, base).count() == 2
