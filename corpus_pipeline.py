@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm import decontaminate, mixing, nearcopies, secrets, toxicity
-from talus.llm.common import cut, fresh, meeting, scratch, table
+from talus.llm.common import cut, discard, fresh, meeting, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,4 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            discard(spark, f"{base}/{k - 1}")  # nothing reads it any more
     return STAGES[-1][1](spark, docs, sf_dir)

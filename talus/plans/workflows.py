@@ -32,11 +32,12 @@ class DemoResult:
 
 
 def write_outputs(products: Products, out: str | Path, meta: report.RunMetadata, checks: list[Check] | None = None, rasters: bool = True) -> Path:
-    """Cells as Parquet, and for one site's reader GeoTIFF, GeoJSON, maps, KMZ and reports."""
+    """Cells and reaches as Parquet, and for one site's reader GeoTIFF, GeoJSON, maps, KMZ and reports."""
     folder = Path(out)
     for name in ("vectors", "rasters"):
         (folder / name).mkdir(parents=True, exist_ok=True)
     write_cells(products, str(folder / "cells"))
+    vectors.drainage_table(products.reaches, products.grid).write.mode("overwrite").parquet(str(folder / "reaches"))
     drainage = vectors.drainage_features(products.reaches, products.grid)
     vectors.write_geojson(folder / "vectors/drainage_lines.geojson", drainage)
     zones = vectors.zone_features(products.zones, products.zone_summary, products.classes, products.grid) if products.zone_summary is not None else []

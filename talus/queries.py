@@ -644,3 +644,79 @@ def _odd(*rings: tuple[tuple[float, float], ...]) -> str:
 def zone_slanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = zones.zone_table(spark, [zones.Zone(1, "Slanted", ((SLANTED, SLANTED_HOLE),))])
     return zones.rasterize_zones(raster.domain(spark, GRID), table, GRID).select("cell", "zone_id")
+
+
+#: A lattice that grows with the points, 64 cells a side for the first 60,000: its queries take the paths of large rasters.
+BASE_POINTS = 60_000
+GROWING = f"""
+WITH RECURSIVE n AS (SELECT 64 * cast(greatest(1, ceil(sqrt(count(*) / {BASE_POINTS}.0::double))) AS bigint) AS side FROM lineitem),
+p AS (SELECT (l_suppkey * 17 + l_orderkey) % side AS row, (l_partkey * 31 + l_linenumber * 7) % side AS col, CASE WHEN l_linenumber > 4 THEN 100 * cast(l_quantity AS bigint) ELSE 0 END AS above
+      FROM lineitem, n WHERE l_quantity NOT IN (1, 50)),
+c AS (SELECT side, unnest(range(side * side)) AS cell FROM n),
+s AS (SELECT cell, cell // side AS row, cell % side AS col, side, ((300000 + 20 * (cell % side) + coalesce(above, 0)) * 1048576 + (cell * 1237 + 11) % 1048576)::double AS v
+      FROM c LEFT JOIN (SELECT row, col, min(above) AS above FROM p GROUP BY row, col) q ON q.row = cell // side AND q.col = cell % side)"""
+
+
+def growing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
+    """Lowest returns over the growing lattice, a plane where there are none, without ties; and its grid."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    side = SIDE * max(1, math.ceil(math.sqrt(lines.count() / BASE_POINTS)))
+    grid = Grid(0.0, float(side), 1.0, side, side, "EPSG:32631")
+    col, row = (F.col("l_partkey") * 31 + F.col("l_linenumber") * 7) % side, (F.col("l_suppkey") * 17 + F.col("l_orderkey")) % side
+    above = F.when(F.col("l_linenumber") > 4, 100 * F.col("l_quantity").cast("long")).otherwise(0)
+    cloud = lines.where("l_quantity NOT IN (1, 50)").select((col + 0.5).alias("x"), (F.lit(side - 0.5) - row).alias("y"), above.cast("double").alias("z"))
+    lowest = raster.cell_statistic(cloud, grid, "min")
+    height = F.lit(300000) + 20 * F.col("col") + F.coalesce("v", F.lit(0.0))
+    return lowest.withColumn("v", height * 1048576 + (F.col("cell") * 1237 + 11) % 1048576), grid
+
+
+def growing_flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
+    cells, grid = growing(spark, sf_dir)
+    found = hydrology.flow_direction(cells, grid, "v", res_m=RES_MM)
+    return found.withColumn("downstream", hydrology.downstream(grid)), grid
+
+
+_AROUND = [(name, r, c) for _, name, r, c in hydrology.DIRECTIONS]
+_NEAR = f"b AS (SELECT s.*, {', '.join(f'j_{k}.v AS {k}' for k, *_ in _AROUND)} FROM s {' '.join(f'LEFT JOIN s j_{k} ON j_{k}.row = s.row + {r} AND j_{k}.col = s.col + {c}' for k, r, c in _AROUND)})"
+_FALLS = {k: f"(v - {k}) / {RES_MM * (math.sqrt(2.0) if r and c else 1.0)!r}::double" for k, r, c in _AROUND}
+_STEEPEST = f"greatest({', '.join(_FALLS.values())})"
+GROWING_FLOW = (
+    f"{GROWING}, {_NEAR}, e AS (SELECT cell, CASE WHEN row IN (0, side - 1) OR col IN (0, side - 1) OR NOT {_STEEPEST} > 0 THEN NULL "
+    + " ".join(f"WHEN {_FALLS[k]} = {_STEEPEST} THEN cell + {r} * side + {c}" for k, r, c in _AROUND)
+    + " END AS downstream FROM b), w(place, from_cell) AS (SELECT cell, cell FROM e UNION ALL SELECT e.downstream, w.from_cell FROM w JOIN e ON w.place = e.cell WHERE e.downstream IS NOT NULL)"
+)
+
+
+@query("growing_flow_accum", f"{GROWING_FLOW} SELECT place AS cell, count(*) AS acc FROM w GROUP BY place")
+def growing_flow_accum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, _ = growing_flow(spark, sf_dir)
+    return hydrology.flow_accumulation(cells, small=0)
+
+
+@query("growing_opening", f"{GROWING}, {_box_sql('s', 'o1', True, 4)}, {_box_sql('o1', 'o2', False, 4)} SELECT cell, v FROM o2")
+def growing_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.opening(growing(spark, sf_dir)[0], 9).select("cell", "v")
+
+
+@query("growing_depressions")
+def growing_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By tiles; tests hold them against a sequential flood."""
+    cells, grid = growing(spark, sf_dir)
+    return fill.fill_depressions(cells, grid, "v", side=64).select("cell", "filled")
+
+
+@query("growing_voids")
+def growing_voids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By tiles, of a raster of which every seventh column and a margin are void."""
+    cells, grid = growing(spark, sf_dir)
+    holed = cells.withColumn("v", F.when((F.col("col") % 7 != 3) & (F.col("row") >= 8), F.col("v") / 1048576))
+    return fill.fill_voids(holed, grid, whole=0, side=64, depth=32, max_iter=64).select("cell", "v")
+
+
+@query("growing_strahler")
+def growing_strahler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In rounds of jobs; ``strahler_rounds`` has the SQL."""
+    cells, _ = growing_flow(spark, sf_dir)
+    cells = cells.select("cell", "downstream")
+    stream = hydrology.streams(cells.join(hydrology.flow_accumulation(cells, small=0), "cell"), LIMIT)
+    return hydrology.strahler_orders(stream, small=0)
