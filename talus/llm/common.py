@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: As many keys are named to every task that reads documents; more are joined, which deals the documents out.
-FEW = 1_000_000
+FEW = 250_000
 
 
 def meeting(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:

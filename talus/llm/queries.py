@@ -43,11 +43,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_
 """,
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for each query; rows without a valid vector take no part, rows that repeat are rows each (``topk.top_k``)."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 @query("op2_html_extraction")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty html give an empty one (``extract.extract``)."""
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
@@ -72,11 +74,13 @@ LEFT JOIN c USING (row_id) LEFT JOIN i USING (row_id)
 """,
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark passages; null and empty texts have none, rows that repeat stay (``decontaminate.decontaminate``)."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 @query("op4_simhash_near_duplicates")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts have fingerprint zero and are linked as any other (``simhash.near_duplicates``)."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -96,16 +100,19 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h L
 """,
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url; a null one, or one without a scheme, has an empty host and path and is allowed (``urls.filter_urls``)."""
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document; null and empty texts are scored as texts without words (``toxicity.toxicity``)."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token count of every document; null and empty texts have no tokens (``tokens.token_counts``)."""
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
@@ -135,6 +142,7 @@ FROM c
 """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; a null text has size 0, a null source is a source (``mixing.mix``)."""
     quality = table(spark, sf_dir, "labels").select("doc_id", (1 + F.col("quality")).alias("weight"))
     return mixing.mix(table(spark, sf_dir, "documents"), quality)
 
@@ -157,9 +165,11 @@ FROM d JOIN f USING (sha)
 """,
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written and read back; null html is an empty payload, ties for the largest page_id are all responses (``warc.archive``)."""
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
 @query("op10_secret_scans")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document; a null text has none (``secrets.secrets``)."""
     return secrets.secrets(table(spark, sf_dir, "documents"))

@@ -373,7 +373,11 @@ def masked(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 def mask(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret masked and n_chars, where there is one, counted anew; rows and other columns as they were."""
+    """``docs`` with every secret masked and n_chars, where there is one, counted anew; rows and other columns as they were.
+
+    A null text stays null and an empty one empty; rows that repeat stay repeated;
+    an empty table gives no rows.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
