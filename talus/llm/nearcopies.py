@@ -13,9 +13,10 @@ smaller counts of the two, summed, bound what they share.  What passes is checke
 by whole sets, first one pair a set, then those that still join two groups.
 
 Scale: texts are read as shingle hashes, equal sets are merged, and only prefixes
-are dealt.  A shingle with few sets gives their pairs.  One with many gives, round
-by round, pairs of a few sets outside its largest component with all of other
-components, until one component is left; so large groups of copies cost a round.
+are dealt.  At a shingle one set meets all others, so a group of copies gives as
+many pairs as it has sets.  Shingles whose sets are not one component after that
+take rounds, each with a few sets of the largest component and a few others against
+all of other components.  No task holds the sets of a shingle at once.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FEW, cut, meeting
@@ -35,15 +35,14 @@ from .simhash import SEED, components, links, majority, shingle_hashes
 
 #: Word shingles and the least similarity of near copies, unless a contract says otherwise.
 SHINGLE, SIMILAR = 5, 0.8
-#: Sampled texts and shingles held as common; the most sets that are paired at once; sets a round, and pairs that a round gives at most (of one set, all).
-SAMPLE, COMMON, SMALL, REPS, MOST = 4_000, 100_000, 32, 32, 1_000_000
+#: Of how many texts one is sampled, shingles held as common, and how many sets of a shingle meet all others in the first round.
+SAMPLE, COMMON, REPS = 12, 400_000, 4
 #: More pairs than these are checked in two turns.
 TRIED = 50_000
 #: Shingles a bucket, about, and the fewest buckets.
-CROWD, BUCKETS = 8, 64
+CROWD, BUCKETS = 4, 64
 
 ROWS = "doc_id long, text_hash long, node long, n long, fp long, counts binary, prefix array<long>"
-PAIRS = "a long, b long, token long, id long, n long, prev long"
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -87,8 +86,8 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), size))], ["token"])
 
-    every = max(1, texts.count() // SAMPLE)
-    tokens = texts.where(F.expr(f"pmod(text_hash, {every}) = 0")).select("text_hash", "text").dropDuplicates(["text_hash"]).select("text").mapInArrow(run, "token long")
+    some = texts.where(F.expr(f"pmod(text_hash, {SAMPLE}) = 0")).select("text_hash", "text").dropDuplicates(["text_hash"])
+    tokens = some.select("text").mapInArrow(run, "token long")
     found = tokens.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).toPandas().sort_values("token")
     return found["token"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
@@ -120,68 +119,33 @@ def _read(size: int, similar: float, common: tuple[np.ndarray, np.ndarray]) -> C
     return run
 
 
-def _pairs(frame: pd.DataFrame, left: np.ndarray, right: np.ndarray, similar: float) -> pd.DataFrame:
-    """The pairs of rows whose sizes allow the similarity and that do not meet at the member before."""
-    ids, n, prev = (frame[c].to_numpy() for c in ("id", "n", "prev"))
-    fits = (np.minimum(n[left], n[right]) >= similar * np.maximum(n[left], n[right]) - 1e-9) & (prev[left] != prev[right])
-    a, b = ids[left[fits]], ids[right[fits]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def _shared(similar: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Pairs at each shingle with few sets, and the rows of each with many, from rows sorted by shingle."""
-
-    def ended(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        keys = frame["token"].to_numpy()
-        bounds = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
-        left, right, large = [], [], []
-        for at in np.flatnonzero(np.diff(bounds) > 1):
-            s, e = int(bounds[at]), int(bounds[at + 1])
-            if e - s > SMALL:
-                large.append(np.arange(s, e))
-            else:
-                i, j = np.triu_indices(e - s, 1)
-                left.append(i + s)
-                right.append(j + s)
-        if left and len(found := _pairs(frame, np.concatenate(left), np.concatenate(right), similar)):
-            yield found.assign(token=None, id=None, n=None, prev=None).astype("Int64")
-        for rows in large:
-            if (frame["prev"].to_numpy()[rows] != frame["prev"].to_numpy()[rows[0]]).any():
-                yield frame.iloc[rows].assign(a=None, b=None)[["a", "b", "token", "id", "n", "prev"]].astype("Int64")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # rows of the last shingle, which may go on
-        for frame in frames:
-            if not len(frame):
-                continue
-            keys = frame["token"].to_numpy()
-            if held and keys[-1] == held[0]["token"].iloc[0]:
-                held.append(frame)
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))
-            yield from ended(pd.concat([*held, frame.iloc[:last]], ignore_index=True))
-            held = [frame.iloc[last:]]
-        if held:
-            yield from ended(pd.concat(held, ignore_index=True))
+def _fit(n: str, m: str, prev: str, other: str, similar: float) -> F.Column:
+    """Whether sets of two sizes may be similar and don't meet at the member before already."""
+    return (F.least(n, m) >= F.lit(similar) * F.greatest(n, m) - F.lit(1e-9)) & (F.col(prev) != F.col(other))
 
-    return run
 
+def _starred(dealt: DataFrame, similar: float) -> DataFrame:
+    """Of (token, id, n, prev) each set with the least set of its token: rep, null where the two need no check.
 
-def _round(similar: float, reps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pairs of a few sets of a shingle with all sets of other components, and the rows that are left for later rounds."""
+    Tokens of one set are left out.  ``token`` is null where a token has but two
+    sets, which have met.  Rows stream by in order; none waits for its whole group.
+    """
+    order = Window.partitionBy("token").orderBy("id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = F.first(F.struct("id", "n", "prev")).over(so_far)
+    rows = dealt.withColumn("_r", least).withColumn("_k", F.row_number().over(order)).withColumn("_1", F.lead("id", 1).over(order)).withColumn("_2", F.lead("id", 2).over(order))
+    several = (F.col("_k") > 1) | F.col("_1").isNotNull()
+    more = (F.col("_k") > 2) | F.when(F.col("_k") == 1, F.col("_2")).otherwise(F.col("_1")).isNotNull()
+    meets = (F.col("_k") > 1) & _fit("n", "_r.n", "prev", "_r.prev", similar)
+    kept = rows.where(several).select(F.when(more & (F.col("_k") > 1), F.col("token")).alias("token"), "id", "n", "prev", F.when(meets, F.col("_r.id")).alias("rep"))
+    return kept.where("token IS NOT NULL OR rep IS NOT NULL")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names, label, sizes = np.unique(frame["comp"].to_numpy(), return_inverse=True, return_counts=True)
-        others = np.flatnonzero(label != sizes.argmax())
-        n = max(1, min(reps, len(others), MOST // len(frame)))
-        chosen = others[np.unique(np.linspace(0, len(others) - 1, n).astype(int))] if len(others) else others
-        left, right = np.repeat(chosen, len(frame)), np.tile(np.arange(len(frame)), len(chosen))
-        apart = label[left] != label[right]
-        pairs = _pairs(frame, left[apart], right[apart], similar)
-        rest = frame.drop(index=frame.index[chosen]) if len(others) > len(chosen) else frame.iloc[:0]
-        return pd.concat([pairs.astype("Int64"), rest[["token", "id", "n", "prev"]].astype("Int64")]).reindex(columns=["a", "b", "token", "id", "n", "prev"]).astype("Int64")
 
-    return run
+def _apart(rows: DataFrame) -> DataFrame:
+    """Those of (token, id, n, prev, comp) whose token has sets of several components and with several members before, with ``main``, its largest component."""
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("prev").alias("p"), F.max("prev").alias("q"))
+    several = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.min("p").alias("p"), F.max("q").alias("q"))
+    return rows.join(several.where("comps > 1 AND p != q").select("token", "main"), "token")
 
 
 class _Search:
@@ -266,15 +230,22 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILA
     # Whatever else shares a member of its prefix.
     dealt = sets.select(F.col("node").alias("id"), "n", "prefix", F.posexplode("prefix").alias("at", "token"))
     dealt = dealt.select("token", "id", "n", F.expr("if(at = 0, id, prefix[greatest(at - 1, 0)])").alias("prev"))
-    out = cut(dealt.repartition("token").sortWithinPartitions("token").mapInPandas(_shared(similar), PAIRS))
-    search.add(same.unionByName(close).unionByName(out.where("a IS NOT NULL").select("a", "b")))
-    reps = REPS
+    met = cut(_starred(dealt, similar))
+    search.add(same.unionByName(close).unionByName(met.where("rep IS NOT NULL").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))))
+    left, reps = met.where("token IS NOT NULL").select("token", "id", "n", "prev"), REPS
     while True:
-        many = out.where("token IS NOT NULL").select("token", "id", "n", "prev")
-        if many.isEmpty():
+        left = cut(_apart(search.rooted(left, "id", "comp")))
+        if left.isEmpty():
             break
-        out = cut(search.rooted(many, "id", "comp").select("token", "id", "n", "prev", "comp").groupBy("token").applyInPandas(_round(similar, reps), PAIRS))
-        search.add(out.where("a IS NOT NULL").select("a", "b"))
+        # Those first that share the most: what copies were made of shares more than they do among each other.
+        shares = left.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_shares"))
+        turn = Window.partitionBy("token", "_in").orderBy(F.desc("_shares"), "id")
+        known = left.join(shares, F.col("id") == F.col("_id")).withColumn("_in", F.col("comp") == F.col("main"))
+        chosen = cut(known.withColumn("_k", F.row_number().over(turn)).where(F.col("_k") <= reps).select("token", "id", "n", "prev", "comp"))
+        ours = chosen.select("token", F.col("id").alias("x"), F.col("n").alias("m"), F.col("prev").alias("other"), F.col("comp").alias("its"))
+        pairs = left.join(ours, "token").where((F.col("comp") != F.col("its")) & _fit("n", "m", "prev", "other", similar))
+        search.add(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")))
+        left = left.join(chosen.select("token", "id"), ["token", "id"], "left_anti").select("token", "id", "n", "prev")
         reps *= 8  # what the first few don't bring together has to be compared anyway
     # Rows are kept or left out by their keys; whole documents are dealt only where they repeat.
     placed = search.rooted(rows.select("doc_id", "text_hash", "node"), "node", "root").groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("times"))

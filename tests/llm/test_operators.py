@@ -330,10 +330,10 @@ def test_near_duplicates_of_odd_tables(spark):
 # Near copies
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_near_copies_equal_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(nearcopies, "SMALL", small)
-    monkeypatch.setattr(nearcopies, "TRIED", 10 if small == 2 else nearcopies.TRIED)
+@pytest.mark.parametrize("reps", [4, 1])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, reps):
+    monkeypatch.setattr(nearcopies, "REPS", reps)
+    monkeypatch.setattr(nearcopies, "TRIED", 10 if reps == 1 else nearcopies.TRIED)
     rng = random.Random(9)
     line = " ".join(f"common{i}" for i in range(30))
     texts = [None, "", "a b", "A  b", "a b c d e", "a b c d f"]
@@ -368,6 +368,24 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, small):
     assert nearcopies.one_of_each(empty(spark)).count() == 0
 
 
+def test_a_group_of_copies_gives_as_many_pairs_as_it_has_sets(spark, monkeypatch):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(150):
+        changed = list(words)
+        for at in rng.sample(range(200), 3 if k != 77 else 0):  # similar to the one they were made of, not to each other
+            changed[at] = f"x{rng.random()}"
+        texts.append(" ".join(changed))
+    texts += [" ".join(f"v{rng.random()}" for _ in range(100)) for _ in range(50)]
+    counted = []
+    similar = nearcopies._Search._similar
+    monkeypatch.setattr(nearcopies._Search, "_similar", lambda self, pairs, n: counted.append(n) or similar(self, pairs, n))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    assert nearcopies.one_of_each(docs).count() == len({*near_groups(texts)})
+    assert sum(counted) < 20 * len(texts)  # of 11,175 pairs
+
+
 def test_copies_of_odd_tables(spark, monkeypatch):
     docs = odd_docs(spark, "same  TEXT again", "something of its own")
     for few in (1_000_000, 0):  # keys named to every task, and joined
