@@ -76,6 +76,8 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             yield batch.slice(lo, 512)
+        del batch
+        pa.default_memory_pool().release_unused()  # workers go on to other stages
 
 
 def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:

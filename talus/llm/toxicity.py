@@ -25,6 +25,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 SAMPLE = 12_000
 MIN_SUPPORT, MIN_LOG_ODDS, STEMS = 4, 2.5, (4, 5, 6)
 FOLDS = 5
+#: Words whose weights a task remembers at once.
+MEMO = 100_000
 
 # Insults that the lexicon starts from, and second-person words.
 INSULTS = "disgusting dumb fool idiot imbecile jerk loser moron pathetic scum stupid trash ugly vermin worthless".split()
@@ -47,7 +49,7 @@ def features(text: str | None, lexicon: dict[str, float], memo: dict[str, float]
         found = lexicon.get(word, 0.0)
         for k in STEMS:
             found = max(found, lexicon.get(word[:k] + "*", 0.0) if len(word) >= k else 0.0)
-        if len(memo) > 1_000_000:
+        if len(memo) > MEMO:
             memo.clear()
         memo[word] = found
         return found
