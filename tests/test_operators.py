@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talus.config import load_demo_region_config, parse_config
 from talus.errors import ConfigError, InputDataError
 from talus.functions import crs
-from talus.lineage import numbered
+from talus.lineage import cut, numbered
 from talus.model import Grid, GroundParams, HydrologyParams, PointCloud, VegetationParams, build_classes, noise_mask
 from talus.operators import canopy, classes, fill, graph, ground, hydrology, raster, terrain, zones
 from talus.sources.tiff import from_array, to_array
@@ -223,6 +223,41 @@ def test_ranks_of_full_and_empty_trees(spark):
         assert found == {i: 5 - (i + 1).bit_length() + 1 for i in range(31)}
 
 
+def plan_bytes(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
+
+def recorded(monkeypatch, module):
+    """The sizes that the plans of a module's checkpoints are taken for, as they come."""
+    sizes = []
+
+    def run(df):
+        kept = cut(df)
+        sizes.append(plan_bytes(kept))
+        return kept
+
+    monkeypatch.setattr(module, "cut", run)
+    return sizes
+
+
+def test_rounds_of_joins_keep_the_plans_sizes_bounded(spark):
+    nodes = cut(spark.range(40).select(F.col("id").alias("node"), F.col("id").alias("at")))
+    assert plan_bytes(nodes) < 2**20  # a size that fits is left as it is
+    for _ in range(8):
+        ahead = nodes.select(F.col("node").alias("at"), (F.col("at") + 1).alias("after"))
+        nodes = cut(nodes.join(ahead, "at").select("node", F.least("after", F.lit(39)).alias("at")))
+        assert plan_bytes(nodes) < 2**63
+    assert nodes.schema.simpleString() == "struct<node:bigint,at:bigint>"
+    assert sorted(r["at"] for r in nodes.collect()) == [39 if n > 38 else min(39, n + 255) for n in range(40)]
+
+
+def test_orders_in_rounds_keep_the_plans_sizes_bounded(spark, monkeypatch):
+    sizes = recorded(monkeypatch, graph)
+    found = graph.ranks(spark.createDataFrame([(i, (i - 1) // 2 if i else None) for i in range(127)], "node long, next long"), 0)
+    assert {r["node"]: r["rank"] for r in found.collect()} == {i: 8 - (i + 1).bit_length() for i in range(127)}
+    assert len(sizes) > 20 and max(sizes) < 2**63
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
     assert [(r["v"], r["n"]) for r in numbered(rows, ["v"], "n").orderBy("n").collect()] == [(i, i + 1) for i in range(1000)]
