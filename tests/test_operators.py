@@ -258,6 +258,18 @@ def test_orders_in_rounds_keep_the_plans_sizes_bounded(spark, monkeypatch):
     assert len(sizes) > 20 and max(sizes) < 2**63
 
 
+def test_depressions_in_rounds_keep_the_plans_sizes_bounded(spark, monkeypatch):
+    sizes = recorded(monkeypatch, fill)
+    dem = np.full((12, 12), 9.0)
+    dem[1:11, 1::2] = 0.0  # trenches that turn at alternate ends, so that water goes round by many tiles
+    dem[1, 2:11:4], dem[10, 4:11:4] = 1.0, 1.0
+    dem[0, 1] = -1.0
+    g = grid_of(dem)
+    found = layer(fill.fill_depressions(from_array(spark, dem, g, "dem"), g, side=3), g, "filled")
+    assert np.abs(found - flood(dem)).max() <= 1e-12
+    assert len(sizes) > 8 and max(sizes) < 2**63
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
     assert [(r["v"], r["n"]) for r in numbered(rows, ["v"], "n").orderBy("n").collect()] == [(i, i + 1) for i in range(1000)]
