@@ -6,7 +6,9 @@ first pairs, through its anchors.  The rest come from a prefix filter: two sets
 whose similarity reaches a threshold share a member among the first few of each in
 any order of all members, so no pair is missed.  Rare shingles come first; how
 common they are is told by a sample, which has no part in what is found.  Where
-the member before is shared too, the pair meets there.
+the member before is shared too, the pair meets there.  At the first member that two
+sets share, what either has from there on bounds what they share; pairs that it
+rules out are not made.
 
 A pair is first held against counts: each set is dealt to buckets by hash, and the
 smaller counts of the two, summed, bound what they share.  What passes is checked
@@ -121,30 +123,35 @@ def _read(size: int, similar: float, common: tuple[np.ndarray, np.ndarray]) -> C
     return run
 
 
-def _fit(n: str, m: str, prev: str, other: str, similar: float) -> F.Column:
-    """Whether sets of two sizes may be similar and don't meet at the member before already."""
-    return (F.least(n, m) >= F.lit(similar) * F.greatest(n, m) - F.lit(1e-9)) & (F.col(prev) != F.col(other))
+def _fit(n: str, m: str, prev: str, other: str, rest: str, its: str, similar: float) -> F.Column:
+    """Whether sets of two sizes may be similar and don't meet at the member before already.
+
+    ``rest`` and ``its`` count a set's members from the token on.  Similar sets pass at
+    the first member that they share, as all that they share is among those.
+    """
+    sizes = F.least(n, m) >= F.lit(similar) * F.greatest(n, m) - F.lit(1e-9)
+    return sizes & (F.least(rest, its) >= F.lit(similar / (1 + similar)) * (F.col(n) + F.col(m)) - F.lit(1e-6)) & (F.col(prev) != F.col(other))
 
 
 def _starred(dealt: DataFrame, similar: float) -> DataFrame:
-    """Of (token, id, n, prev) each set with the least set of its token: rep, null where the two need no check.
+    """Of (token, id, n, prev, rest) each set with the least set of its token: rep, null where the two need no check.
 
     Tokens of one set are left out.  ``token`` is null where a token has but two
     sets, which have met.  Rows stream by in order; none waits for its whole group.
     """
     order = Window.partitionBy("token").orderBy("id")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    least = F.first(F.struct("id", "n", "prev")).over(so_far)
+    least = F.first(F.struct("id", "n", "prev", "rest")).over(so_far)
     rows = dealt.withColumn("_r", least).withColumn("_k", F.row_number().over(order)).withColumn("_1", F.lead("id", 1).over(order)).withColumn("_2", F.lead("id", 2).over(order))
     several = (F.col("_k") > 1) | F.col("_1").isNotNull()
     more = (F.col("_k") > 2) | F.when(F.col("_k") == 1, F.col("_2")).otherwise(F.col("_1")).isNotNull()
-    meets = (F.col("_k") > 1) & _fit("n", "_r.n", "prev", "_r.prev", similar)
-    kept = rows.where(several).select(F.when(more & (F.col("_k") > 1), F.col("token")).alias("token"), "id", "n", "prev", F.when(meets, F.col("_r.id")).alias("rep"))
+    meets = (F.col("_k") > 1) & _fit("n", "_r.n", "prev", "_r.prev", "rest", "_r.rest", similar)
+    kept = rows.where(several).select(F.when(more & (F.col("_k") > 1), F.col("token")).alias("token"), "id", "n", "prev", "rest", F.when(meets, F.col("_r.id")).alias("rep"))
     return kept.where("token IS NOT NULL OR rep IS NOT NULL")
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """Those of (token, id, n, prev, comp) whose token has sets of several components and with several members before, with ``main``, its largest component."""
+    """Those of (token, id, n, prev, rest, comp) whose token has sets of several components and with several members before, with ``main``, its largest component."""
     sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("prev").alias("p"), F.max("prev").alias("q"))
     several = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.min("p").alias("p"), F.max("q").alias("q"))
     return rows.join(several.where("comps > 1 AND p != q").select("token", "main"), "token")
@@ -231,10 +238,10 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILA
     close = close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     # Whatever else shares a member of its prefix.
     dealt = sets.select(F.col("node").alias("id"), "n", "prefix", F.posexplode("prefix").alias("at", "token"))
-    dealt = dealt.select("token", "id", "n", F.expr("if(at = 0, id, prefix[greatest(at - 1, 0)])").alias("prev"))
+    dealt = dealt.select("token", "id", "n", F.expr("if(at = 0, id, prefix[greatest(at - 1, 0)])").alias("prev"), (F.col("n") - F.col("at")).alias("rest"))
     met = cut(_starred(dealt, similar))
     search.add(same.unionByName(close).unionByName(met.where("rep IS NOT NULL").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))))
-    left, reps = met.where("token IS NOT NULL").select("token", "id", "n", "prev"), REPS
+    left, reps = met.where("token IS NOT NULL").select("token", "id", "n", "prev", "rest"), REPS
     while True:
         left = cut(_apart(search.rooted(left, "id", "comp")))
         if left.isEmpty():
@@ -243,11 +250,11 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILA
         shares = left.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_shares"))
         turn = Window.partitionBy("token", "_in").orderBy(F.desc("_shares"), "id")
         known = left.join(shares, F.col("id") == F.col("_id")).withColumn("_in", F.col("comp") == F.col("main"))
-        chosen = cut(known.withColumn("_k", F.row_number().over(turn)).where(F.col("_k") <= reps).select("token", "id", "n", "prev", "comp"))
-        ours = chosen.select("token", F.col("id").alias("x"), F.col("n").alias("m"), F.col("prev").alias("other"), F.col("comp").alias("its"))
-        pairs = left.join(ours, "token").where((F.col("comp") != F.col("its")) & _fit("n", "m", "prev", "other", similar))
+        chosen = cut(known.withColumn("_k", F.row_number().over(turn)).where(F.col("_k") <= reps).select("token", "id", "n", "prev", "rest", "comp"))
+        ours = chosen.select("token", F.col("id").alias("x"), F.col("n").alias("m"), F.col("prev").alias("other"), F.col("rest").alias("behind"), F.col("comp").alias("its"))
+        pairs = left.join(ours, "token").where((F.col("comp") != F.col("its")) & _fit("n", "m", "prev", "other", "rest", "behind", similar))
         search.add(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")))
-        left = left.join(chosen.select("token", "id"), ["token", "id"], "left_anti").select("token", "id", "n", "prev")
+        left = left.join(chosen.select("token", "id"), ["token", "id"], "left_anti").select("token", "id", "n", "prev", "rest")
         reps *= 8  # what the first few don't bring together has to be compared anyway
     # Rows are kept or left out by their keys; whole documents are dealt only where they repeat.
     placed = search.rooted(rows.select("doc_id", "text_hash", "node"), "node", "root").groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("times"))

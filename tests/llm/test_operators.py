@@ -386,6 +386,13 @@ def test_a_group_of_copies_gives_as_many_pairs_as_it_has_sets(spark, monkeypatch
     assert sum(counted) < 20 * len(texts)  # of 11,175 pairs
 
 
+def test_sets_that_meet_too_late_make_no_pair(spark):
+    # Of 10 members each, 9 have to be shared: a pair with 8 left at the token, and one with 9 left.
+    rows = [(7, 1, 10, 100, 8), (7, 2, 10, 200, 10), (8, 3, 10, 300, 9), (8, 4, 10, 400, 10)]
+    dealt = spark.createDataFrame(rows, "token long, id long, n long, prev long, rest long")
+    assert [(r["id"], r["rep"]) for r in nearcopies._starred(dealt, 0.8).where("rep IS NOT NULL").collect()] == [(4, 3)]
+
+
 def test_copies_of_odd_tables(spark, monkeypatch):
     docs = odd_docs(spark, "same  TEXT again", "something of its own")
     for few in (1_000_000, 0):  # keys named to every task, and joined
