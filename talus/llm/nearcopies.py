@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FEW, cut, meeting
+from .common import FEW, cut, meeting, small
 from .simhash import SEED, components, links, majority, shingle_hashes
 
 #: Word shingles and the least similarity of near copies, unless a contract says otherwise.
@@ -73,20 +73,11 @@ def enough(both: int, n: int, m: int, similar: float) -> bool:
     return both >= similar * (n + m - both) - 1e-9
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches that hold few texts."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            yield batch.slice(lo, 512)
-        del batch
-        pa.default_memory_pool().release_unused()  # workers go on to other stages
-
-
 def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that several texts of a sample share, sorted, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), size))], ["token"])
 
@@ -101,7 +92,7 @@ def _read(size: int, similar: float, common: tuple[np.ndarray, np.ndarray]) -> C
     tokens, often = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
+        for batch in small(batches):
             nodes, sizes, fps, tallies, prefixes = [], [], [], [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), size)
@@ -189,7 +180,7 @@ class _Search:
         size, similar = self.size, self.similar
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _small(batches):
+            for batch in small(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "members"])
 
         named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

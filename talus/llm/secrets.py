@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 KINDS = ("assign", "access", "hex")
 #: Unpacked data is read in steps, scanned in parts of about ``CHUNK`` bytes; parts overlap where no line ends them.
 STEP, CHUNK, OVERLAP = 1 << 20, 1 << 24, 1 << 16
@@ -350,7 +352,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [spans(t.as_py()) for t in batch.column(1)]
             counts = [pa.array([sum(1 for x in base if x[1] == k) for base, _ in rows], pa.int64()) for k in range(len(KINDS))]
             digests = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in rows], pa.string())
@@ -381,7 +383,7 @@ def mask(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [masked(t.as_py(), mark) for t in batch.column(names.index("text"))]
             yield batch.set_column(names.index("text"), pa.field("text", pa.string()), pa.array(texts, pa.string()))
 

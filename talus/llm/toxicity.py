@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .common import small
+
 #: Most labelled rows that fitting reads.
 SAMPLE = 12_000
 MIN_SUPPORT, MIN_LOG_ODDS, STEMS = 4, 2.5, (4, 5, 6)
@@ -222,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def _with_features(lexicon: dict[str, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
-        for batch in batches:
+        for batch in small(batches):
             made = [features(t.as_py(), lexicon, memo) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["part", "toxic", "x"])
 
@@ -245,7 +247,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, suffix:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
-        for batch in batches:
+        for batch in small(batches):
             x = np.array([features(t.as_py(), model.lexicon, memo) for t in batch.column(batch.num_columns - 1)], float).reshape(-1, len(FEATURES))
             found = np.clip(model.score(x), 0.0, 1.0)
             columns = [*batch.columns[:width], pa.array(found), pa.array((found >= 0.5).astype(np.int32))]

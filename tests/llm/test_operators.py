@@ -14,6 +14,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyarrow import fs
@@ -393,6 +394,23 @@ def test_sets_that_meet_too_late_make_no_pair(spark):
     assert [(r["id"], r["rep"]) for r in nearcopies._starred(dealt, 0.8).where("rep IS NOT NULL").collect()] == [(4, 3)]
 
 
+def test_workers_hold_few_texts_at_once(spark, monkeypatch):
+    sent, frame = [], type(spark.range(0))
+    true = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, *a, **b: sent.append((run, self.columns)) or true(self, run, *a, **b))
+    docs = spark.createDataFrame([(1, "you idiot, token = abcdef1234")], "doc_id long, text string")
+    toxicity.score(docs, toxicity.Model({}, toxicity.grow(np.empty((0, 14)), np.empty(0)), np.empty(0), np.empty(0)))
+    secrets.secrets(docs)
+    secrets.mask(docs)
+    assert len(sent) == 3
+    columns = {"doc_id": pa.array(range(3000)), "held_out": pa.array([False] * 3000), "text": pa.array([f"{i} you idiot, token = abcdef{i:04}" for i in range(3000)])}
+    for run, names in [*sent, (toxicity._with_features({}), ["doc_id", "doc_id", "text"])]:
+        whole = pa.RecordBatch.from_arrays([columns[c] for c in names], [f"{i}" if names.count(c) > 1 else c for i, c in enumerate(names)])
+        made = list(run(iter([whole, whole.slice(0, 0), whole.slice(7, 100)])))
+        assert max(b.num_rows for b in made) <= 512
+        assert pa.Table.from_batches(made).column(0).to_pylist() == [*range(3000), *range(7, 107)]
+
+
 def test_copies_of_odd_tables(spark, monkeypatch):
     docs = odd_docs(spark, "same  TEXT again", "something of its own")
     for few in (1_000_000, 0):  # keys named to every task, and joined
